@@ -95,8 +95,10 @@ def point_in_time_features(
     parity: bool = False,
     kappa: float = DEFAULTS.cold_kappa,
     min_n: int = DEFAULTS.baseline_min_n,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Passthrough columns, ``seq`` and the 40 model features of every row in the log.
+    """Passthrough columns, ``seq`` and the 40 model features of every row in the log,
+    and the further log columns named in ``keep``.
 
     Without priors the segment baselines fall back to the running global mean of
     the log amount. ``parity`` adds the two recomputed supplied columns.
@@ -133,8 +135,8 @@ def point_in_time_features(
             {"_parity_velocity_8min": F.col("txn_count_8m"), "_parity_amount_spike": amount_spike(min_n)}
         )
         extra = ["_parity_velocity_8min", "_parity_amount_spike"]
-    keep = [c for c in PASSTHROUGH if c in rows.columns]
-    return rows.select("seq", *keep, *[c for c in MODEL_FEATURES if c not in keep], *extra)
+    passed = [c for c in PASSTHROUGH if c in rows.columns]
+    return rows.select("seq", *keep, *passed, *[c for c in MODEL_FEATURES if c not in passed], *extra)
 
 
 def amount_spike(min_n: int = DEFAULTS.baseline_min_n) -> Column:
