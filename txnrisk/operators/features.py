@@ -104,14 +104,29 @@ def point_in_time_features(
     the log amount. ``parity`` adds the two recomputed supplied columns.
     """
     rows = log.rows
-    fitted = priors is not None
-    if parity or not fitted:
+    if parity or priors is None:
         rows = running_global(log, rows)
     # supplied look-alikes of computed features would collide with them
     computed = {f for f in MODEL_FEATURES if f not in PASSTHROUGH}
     rows = rows.drop(*[c for c in rows.columns if c in computed])
     spans = dict(SPANS, **({"8m": PARITY_SPAN} if parity else {}))
-    rows = entity_history(log, calendar_features(rows), spans)
+    rows = finished_features(entity_history(log, calendar_features(rows), spans), priors, kappa, min_n)
+    extra = []
+    if parity:
+        rows = rows.withColumns(
+            {"_parity_velocity_8min": F.col("txn_count_8m"), "_parity_amount_spike": amount_spike(min_n)}
+        )
+        extra = ["_parity_velocity_8min", "_parity_amount_spike"]
+    passed = [c for c in PASSTHROUGH if c in rows.columns]
+    return rows.select("seq", *keep, *passed, *[c for c in MODEL_FEATURES if c not in passed], *extra)
+
+
+def finished_features(
+    rows: DataFrame, priors: Priors | None, kappa: float = DEFAULTS.cold_kappa, min_n: int = DEFAULTS.baseline_min_n
+) -> DataFrame:
+    """Model features from calendar columns and entity state. Row by row, so the same
+    code finishes batch rows and rows of a stream."""
+    fitted = priors is not None
     rows = rows.withColumns(
         {
             "stratum": C.stratum(F.col("customer_history_count")),
@@ -128,15 +143,7 @@ def point_in_time_features(
     global_mean = F.lit(priors.mean) if fitted else F.coalesce(F.col("running_mean_log"), F.lit(0.0))
     if not fitted:
         rows = rows.withColumn("mu_seg", global_mean)
-    rows = rows.withColumns(_amount_deviation(min_n, global_mean))
-    extra = []
-    if parity:
-        rows = rows.withColumns(
-            {"_parity_velocity_8min": F.col("txn_count_8m"), "_parity_amount_spike": amount_spike(min_n)}
-        )
-        extra = ["_parity_velocity_8min", "_parity_amount_spike"]
-    passed = [c for c in PASSTHROUGH if c in rows.columns]
-    return rows.select("seq", *keep, *passed, *[c for c in MODEL_FEATURES if c not in passed], *extra)
+    return rows.withColumns(_amount_deviation(min_n, global_mean))
 
 
 def amount_spike(min_n: int = DEFAULTS.baseline_min_n) -> Column:
