@@ -3,17 +3,20 @@ scored table whose scores come from fixed weights so that SQL can repeat them.""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.functions import columns as C
-from txnrisk.operators import budget, decide, features, novelty, priors, reasons, splits
+from txnrisk.operators import budget, decide, features, models, novelty, priors, reasons, splits
 from txnrisk.operators.asof import TxnLog
+from txnrisk.plans import scoring
 from txnrisk.settings import MODEL_FEATURES, Thresholds
 from txnrisk.sources import tables
-from txnrisk.sources.scratch import materialise
+from txnrisk.sources.scratch import materialise, scratch_root
+from txnrisk.streaming import scoring as streams
 
 # weights of the fixed scoring rule; features not listed weigh nothing
 WEIGHTS = {
@@ -130,6 +133,63 @@ def train_customers(spark: SparkSession, folder: str) -> DataFrame:
     return prepared(spark, folder).log.rows.filter(F.col("fold") == "train").select("customer_id").distinct()
 
 
+# small trees: the check runs on a laptop-size table
+TREES = models.TreeParams(forest_trees=40, forest_depth=8, boost_rounds=30, boost_depth=5)
+
+
+def trained(spark: SparkSession, folder: str) -> scoring.Trained:
+    return _once(
+        spark, folder, "trained",
+        lambda: scoring.train(events_log(spark, folder), size=TREES, forest_trees=100, forest_sample=1024),
+    )
+
+
+def test_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The test fold scored by the fitted bundle under the alert budget, with reasons."""
+    return _once(
+        spark, folder, "test_scores",
+        lambda: materialise(scoring.score_fold(trained(spark, folder), explain=True), "test_scores"),
+    )
+
+
+def boosted(spark: SparkSession, folder: str):
+    rows = fitted_features(spark, folder)
+    return _once(
+        spark, folder, "boosted",
+        lambda: models.fit_boosting(
+            rows.filter(F.col("fold") == "train"), rows.filter(F.col("fold") == "val"), size=TREES
+        ),
+    )
+
+
+def stateful_streams(spark: SparkSession) -> None:
+    """Stateful processors need the RocksDB state store; that is the application's choice."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stream_of(spark: SparkSession, rows: DataFrame, files: int, per_batch: int) -> DataFrame:
+    """Write rows as files in time order and read them back as a stream."""
+    folder = new_folder(spark, "stream")
+    rows.repartitionByRange(files, "ts_sec", "transaction_id").write.parquet(folder)
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    return streams.read_stream(spark, folder, schema, files_per_batch=per_batch)
+
+
+def run_stream(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all available files and read its result table."""
+    out = new_folder(spark, "result")
+    query = streams.start(df, out, new_folder(spark, "checkpoint"), available_only=True, mode=mode)
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
 # ------------------------------------------------------------------ messy text
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     """The event table as a hand-made export: odd headers, amounts and times as text in

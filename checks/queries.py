@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import inputs as I
 from txnrisk.functions import columns as C
 from txnrisk.operators import (
-    asof, budget, canonical, decide, describe, features, metrics, novelty, priors, quality, reasons, splits,
+    asof, attribution, budget, canonical, decide, describe, features, metrics, models, novelty, priors, quality,
+    reasons, splits,
 )
+from txnrisk.plans import evaluation, scoring
 from txnrisk.settings import CATEGORICAL_SUMMARY, DEFAULTS, MODEL_FEATURES
-from txnrisk.sources import adapters, readers, tables
+from txnrisk.sources import adapters, artifacts, readers, tables, writers
+from txnrisk.streaming import scoring as streams
+from txnrisk.streaming.budget import StreamingBudget
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -434,10 +439,7 @@ def feature_full(spark, d):
 @query
 def feature_vector(spark, d):
     """All 40 model inputs as one array in model order, summed per position."""
-    from pyspark.ml.functions import vector_to_array
-
-    from txnrisk.operators.models import assembled
-    rows = assembled(I.fitted_features(spark, d)).select(F.posexplode(vector_to_array("features")))
+    rows = models.assembled(I.fitted_features(spark, d)).select(F.posexplode(vector_to_array("features")))
     return rounded(rows.groupBy("pos").agg(F.sum("col").alias("total")), 2)
 
 
@@ -467,9 +469,7 @@ def amount_octiles(spark, d):
 # ================================================================== decisions
 @query
 def class_weights(spark, d):
-    from txnrisk.operators.models import class_weights as weights
-
-    return rounded(weights(I.prepared(spark, d).log.rows.filter(F.col("fold") == "train")))
+    return rounded(models.class_weights(I.prepared(spark, d).log.rows.filter(F.col("fold") == "train")))
 
 
 @query
@@ -747,3 +747,204 @@ def mean_amount(spark, d):
     return describe.mean_amount_by_class(tables.line_transactions(spark, d))
 
 
+# ================================================================== fitted models
+def _fold(spark, d, name):
+    return I.fitted_features(spark, d).filter(F.col("fold") == name)
+
+
+@query
+def lr_scores(spark, d):
+    model = models.fit_logistic(_fold(spark, d, "train"))
+    return rounded(models.with_raw_probability(model, _fold(spark, d, "val")).select("transaction_id", "raw_probability"))
+
+
+@query
+def rf_scores(spark, d):
+    model = models.fit_forest(_fold(spark, d, "train"), size=I.TREES)
+    return rounded(models.with_raw_probability(model, _fold(spark, d, "val")).select("transaction_id", "raw_probability"))
+
+
+@query
+def gbt_scores(spark, d):
+    rows = models.with_raw_probability(I.boosted(spark, d), _fold(spark, d, "val"))
+    return rounded(rows.select("transaction_id", "raw_probability"))
+
+
+@query
+def model_comparison(spark, d):
+    return rounded(I.trained(spark, d).bundle.comparison)
+
+
+@query
+def calibrated(spark, d):
+    val = models.with_raw_probability(I.boosted(spark, d), _fold(spark, d, "val"))
+    return rounded(models.fit_calibrator(val).transform(val).select("transaction_id", "raw_probability", "p"))
+
+
+@query
+def isolation_novelty(spark, d):
+    forest = novelty.fit_isolation_forest(splits.legitimate(_fold(spark, d, "train")), trees=100, sample=1024)
+    val = _fold(spark, d, "val").withColumn("deviation", forest.deviation(spark))
+    ecdf = novelty.fit_ecdf(splits.legitimate(val), "deviation")
+    return rounded(novelty.ecdf_rank(val, "deviation", ecdf).select("transaction_id", "deviation", "novelty"))
+
+
+@query
+def novelty_variants(spark, d):
+    legit = splits.legitimate(_fold(spark, d, "train"))
+    forest = novelty.fit_isolation_forest(legit, trees=100, sample=1024)
+    val = _fold(spark, d, "val").withColumns(
+        {"forest": forest.deviation(spark), "gaussian": novelty.gaussian_deviation(novelty.fit_gaussian(legit))}
+    )
+    return novelty.compare_variants(
+        val, {"isolation_forest": "forest", "gaussian_distance": "gaussian"}, F.col("is_fraud") == 0
+    )
+
+
+@query
+def gaussian_novelty(spark, d):
+    """Distance of test rows from legitimate training rows, features independent."""
+    fit = novelty.fit_gaussian(splits.legitimate(_fold(spark, d, "train")))
+    return rounded(_fold(spark, d, "test").select("transaction_id", novelty.gaussian_deviation(fit).alias("deviation")), 4)
+
+
+@query
+def tree_contrib(spark, d):
+    """Contributions of a boosted model and the bias add up to its log-odds margin: the
+    difference of both, row by row."""
+    model = I.boosted(spark, d)
+    found = attribution.tree_attribution(spark, model.stages[-1])
+    test = _fold(spark, d, "test").withColumn("contributions", found.contributions(spark))
+    total = F.aggregate("contributions", F.lit(found.bias), lambda a, b: a + b)
+    rows = models.with_raw_probability(model, test)
+    p = F.col("raw_probability")
+    return rounded(rows.select("transaction_id", F.abs(total - F.log(p / (1 - p))).alias("difference")), 6)
+
+
+@query
+def tree_importance(spark, d):
+    found = attribution.tree_attribution(spark, I.boosted(spark, d).stages[-1])
+    test = splits.sample_rows(_fold(spark, d, "test"), "transaction_id", DEFAULTS.importance_sample)
+    return rounded(reasons.global_importance(test.withColumn("contributions", found.contributions(spark)), MODEL_FEATURES))
+
+
+@query
+def permutation_influence(spark, d):
+    return rounded(attribution.permutation_influence(I.boosted(spark, d), _fold(spark, d, "test")))
+
+
+@query
+def scored_test_fold(spark, d):
+    rows = I.test_scores(spark, d)
+    return rows.select("transaction_id", "fraud_probability", "novelty_score", "risk_band", "budget_status", "explanation")
+
+
+@query
+def evaluation_report(spark, d):
+    t = I.trained(spark, d)
+    known = t.fold("train").select("customer_id").distinct()
+    tables_ = evaluation.evaluate(I.test_scores(spark, d).drop("fold"), known, t.fold("test"))
+    return evaluation.as_report(tables_)
+
+
+@query
+def saved_bundle_scores(spark, d):
+    """A bundle written and read again scores like the original: differing rows."""
+    t = I.trained(spark, d)
+    path = I.new_folder(spark, "bundle")
+    artifacts.save_bundle(t.bundle, path, spark)
+    again = scoring.score_features(artifacts.load_bundle(spark, path), t.fold("test"))
+    first = scoring.score_features(t.bundle, t.fold("test"))
+    keep = ["transaction_id", "fraud_probability", "novelty_score", "risk_band"]
+    return again.select(*keep).exceptAll(first.select(*keep)).agg(F.count(F.lit(1)).alias("differing_rows"))
+
+
+@query
+def file_scored_alone(spark, d):
+    """A file scored with a fitted bundle while its own rows are the only history."""
+    log = I.lines_log(spark, d)
+    return scoring.score_log(I.trained(spark, d).bundle, log).select("transaction_id", "risk_band", "budget_status")
+
+
+# ================================================================== sinks
+@query
+def parquet_sink(spark, d):
+    path = I.new_folder(spark, "features")
+    writers.write_features(I.fitted_features(spark, d), path)
+    return spark.read.parquet(path).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def csv_sink(spark, d):
+    path = I.new_folder(spark, "export")
+    writers.write_csv(I.decided(spark, d), path)
+    back = readers.read_csv_text(spark, path)
+    return back.select("transaction_id", F.col("fraud_probability").cast("double").alias("fraud_probability"), "risk_band")
+
+
+@query
+def csv_round_trip(spark, d):
+    """Canonical rows written as text and loaded again through the raw-file path."""
+    path = I.new_folder(spark, "raw")
+    rows = tables.event_transactions(spark, d)
+    rows.withColumn("timestamp", C.utc_wall(F.col("ts_sec")).cast("string")).drop("ts_sec").write.option("header", True).csv(path)
+    keep = ["transaction_id", "ts_sec", "customer_id", "merchant_id", "device_id", "amount", "transaction_hour", "is_fraud"]
+    return readers.read_transactions(spark, path).select(*keep)
+
+
+@query
+def json_sink(spark, d):
+    path = I.new_folder(spark, "json")
+    writers.write_json(I.decided(spark, d).select("transaction_id", "risk_band", "tags"), path)
+    back = spark.read.schema("transaction_id string, risk_band string, tags array<string>").json(path)
+    return back.select("transaction_id", "risk_band", F.size("tags").alias("n_tags"))
+
+
+# ================================================================== streams
+def _canonical(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "transaction_id", "ts_sec", "customer_id", "merchant_id", "device_id", "amount", "transaction_hour", "is_fraud"
+    )
+
+
+@query
+def stream_features(spark, d):
+    """The test fold as a stream in several micro-batches, state seeded with all earlier rows."""
+    I.stateful_streams(spark)
+    p = I.prepared(spark, d)
+    rows = p.log.rows
+    history = _canonical(rows.filter(F.col("fold") != "test"))
+    test = _canonical(rows.filter(F.col("fold") == "test"))
+    out = I.run_stream(spark, streams.stream_features(I.stream_of(spark, test, 1, 1), p.priors, history))
+    return rounded(out, 4)
+
+
+@query
+def stream_decisions(spark, d):
+    I.stateful_streams(spark)
+    t = I.trained(spark, d)
+    rows = t.log.rows
+    history = _canonical(rows.filter(F.col("fold") != "test"))
+    source = I.stream_of(spark, _canonical(rows.filter(F.col("fold") == "test")), 1, 1)
+    out = I.run_stream(spark, streams.stream_decisions(source, t.bundle, history))
+    return out.select("transaction_id", "fraud_probability", "novelty_score", "risk_band")
+
+
+@query
+def stream_budget(spark, d):
+    """The alert budget over micro-batches of decided rows."""
+    keep = ["transaction_id", "ts_sec", "risk_band", "rank_score"]
+    source = I.stream_of(spark, I.decided(spark, d).select(*keep), 1, 1)
+    path = I.new_folder(spark, "budget")
+    job = source.writeStream.foreachBatch(StreamingBudget(path)).option(
+        "checkpointLocation", I.new_folder(spark, "checkpoint")
+    )
+    job.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/decisions").select("transaction_id", "risk_band", "budget_status")
+
+
+@query
+def stream_daily_alerts(spark, d):
+    """Alerts per day from a stream; the last day stays open until the watermark passes it."""
+    source = I.stream_of(spark, I.decided(spark, d).select("ts_sec", "transaction_id", "budget_status"), 1, 1)
+    return I.run_stream(spark, streams.daily_alert_stream(source, "0 seconds"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.inputs import ALL_WEIGHTS, INTERCEPT, WEIGHTS
-from txnrisk.settings import MODEL_FEATURES, REASON_GROUPS
+from txnrisk.settings import MODEL_FEATURES, NOVELTY_FEATURES, REASON_GROUPS
 
 ORACLES: dict[str, str] = {}
 
@@ -665,3 +665,25 @@ oracle("insight_facts", *DECISIONS, FLAGGED, select="""
  SELECT count(*) AS rows, count(*) FILTER (WHERE alert) AS alerting, round(100.0::DOUBLE * avg(CAST(alert AS INT)), 1) AS alerting_pct,
   CAST(sum(unseen_customer) AS BIGINT) AS unseen, round(100.0::DOUBLE * avg(unseen_customer), 1) AS unseen_pct FROM flagged""")
 oracle("mean_amount", LINES, select="SELECT is_fraud, count(*) AS rows, round(avg(amount), 4) AS mean_amount FROM txn GROUP BY 1")
+
+# ================================================================== models, sinks, streams
+NOVEL = [f for f in NOVELTY_FEATURES]
+oracle("gaussian_novelty", *FULL, "nm AS (SELECT " + ", ".join(f"avg({f}) AS a_{f}, stddev_pop({f}) AS s_{f}" for f in NOVEL)
+       + " FROM feats WHERE fold = 'train' AND is_fraud = 0)", select="SELECT transaction_id, round(sqrt("
+       + " + ".join(f"CASE WHEN s_{f} > {D(1e-12)} THEN pow(({f} - a_{f}) / s_{f}, 2) ELSE 0 END" for f in NOVEL)
+       + "), 4) AS deviation FROM feats CROSS JOIN nm WHERE fold = 'test'")
+oracle("saved_bundle_scores", select="SELECT CAST(0 AS BIGINT) AS differing_rows")
+oracle("parquet_sink", *COMBINED, select="SELECT fold, count(*) AS rows FROM comb GROUP BY fold")
+oracle("csv_sink", *DECISIONS, select="SELECT transaction_id, fraud_probability, risk_band FROM decided")
+oracle("csv_round_trip", EVENTS, select="SELECT * FROM txn")
+oracle("json_sink", *DECISIONS, select="""
+ SELECT transaction_id, risk_band, CAST((risk_band = 'high-risk')::INT + (novelty >= novelty_high AND risk_band <> 'normal')::INT AS INT) AS n_tags FROM decided""")
+oracle("stream_features", *FULL, select="SELECT " + rounded(
+    ["transaction_id", "ts_sec", "customer_id", "merchant_id", "device_id", "amount", "transaction_hour", "is_night",
+     "day_of_week", "is_weekend", "is_fraud"] + [f for f in MODEL_FEATURES if f not in ("transaction_hour", "is_night", "day_of_week", "is_weekend")], 4) + " FROM feats WHERE fold = 'test'")
+ORACLES["stream_budget"] = ORACLES["alert_budget"]
+oracle("tree_contrib", *COMBINED, select="SELECT transaction_id, 0.0::DOUBLE AS difference FROM comb WHERE fold = 'test'")
+# the watermark stands at the last alert, so the day it lies in is not emitted yet
+oracle("stream_daily_alerts", *DECISIONS, select="""
+ SELECT ts_sec // 86400 AS day, count(*) AS alerts FROM decided WHERE alert
+  AND ts_sec // 86400 < (SELECT max(ts_sec // 86400) FROM decided WHERE alert) GROUP BY 1""")

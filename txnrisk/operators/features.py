@@ -59,7 +59,8 @@ def _counts_and_flags(kappa: float, min_n: int) -> dict[str, Column]:
 
 
 def hours_since(ts: Column, last: Column) -> Column:
-    return F.log1p(F.coalesce((ts - last) / 3600.0, F.lit(0.0)))
+    # never negative in a batch; a late row of a stream may lie before the last one
+    return F.log1p(F.greatest(F.coalesce((ts - last) / 3600.0, F.lit(0.0)), F.lit(0.0)))
 
 
 def _amount_deviation(min_n: int, global_mean: Column) -> dict[str, Column]:

@@ -1,0 +1,230 @@
+"""Entity state of the stream: what is kept per customer, merchant and device.
+
+One step takes the state of a key and the rows of a micro-batch, sorted by
+(ts_sec, transaction_id), and returns the rows with the state *before* each of
+them. The columns equal those of the batch operators, so both are finished by the
+same expressions. A row that arrives later than rows already seen is scored on
+whatever state exists.
+"""
+
+from __future__ import annotations
+
+import bisect
+import math
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from txnrisk.functions import columns as C
+from txnrisk.settings import DAY, SPANS
+
+SLACK = DAY  # how much longer than a day recent rows are kept, for late arrivals
+_UNIT = 1_000_000  # amounts inside a look-back are summed in whole millionths
+
+MOMENTS = "n bigint, mean double, m2 double, total double, last bigint"
+RECENT = "ts bigint, merchant string, device string, amount double"
+
+
+@dataclass
+class Moments:
+    n: int = 0
+    mean: float = 0.0
+    m2: float = 0.0
+    total: float = 0.0
+    last: int | None = None
+
+    def before(self) -> tuple:
+        known = self.n > 0
+        return (
+            self.n,
+            self.mean if known else None,
+            math.sqrt(self.m2 / self.n) if self.n > 1 else 0.0,
+            self.last,
+            self.total,
+        )
+
+    def add(self, ts: int, amount: float) -> None:
+        x = math.log1p(amount)
+        self.n += 1
+        step = x - self.mean
+        self.mean += step / self.n
+        self.m2 += step * (x - self.mean)
+        self.total += amount
+        self.last = ts if self.last is None else max(self.last, ts)
+
+
+@dataclass
+class Recent:
+    """Rows of the last day in time order, with counters over the current look-back."""
+
+    rows: list[tuple] = field(default_factory=list)
+    times: list[int] = field(default_factory=list)
+    start: int = 0
+    merchants: Counter = field(default_factory=Counter)
+    devices: Counter = field(default_factory=Counter)
+    amount: int = 0
+    clean: bool = False
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> Recent:
+        ordered = sorted(rows, key=lambda r: r[0])
+        return cls(ordered, [r[0] for r in ordered])
+
+    def _count(self, row: tuple, sign: int) -> None:
+        for counter, key in ((self.merchants, row[1]), (self.devices, row[2])):
+            counter[key] += sign
+            if not counter[key]:
+                del counter[key]
+        self.amount += sign * round(row[3] * _UNIT)
+
+    def _look_back(self, cutoff: int) -> None:
+        if not self.clean:  # first row of the batch, or after a late one
+            self.merchants, self.devices, self.amount = Counter(), Counter(), 0
+            self.start = bisect.bisect_left(self.times, cutoff)
+            for row in self.rows[self.start:]:
+                self._count(row, 1)
+            self.clean = True
+        while self.start < len(self.times) and self.times[self.start] < cutoff:
+            self._count(self.rows[self.start], -1)
+            self.start += 1
+
+    def before(self, ts: int) -> tuple:
+        late = bool(self.times) and ts < self.times[-1]
+        if late:
+            self.clean = False
+        self._look_back(ts - DAY)
+        if late:
+            self.clean = False  # the counters now cover an earlier look-back
+        n = len(self.times)
+        counts = [n - bisect.bisect_left(self.times, ts - s) for s in SPANS.values()]
+        return (*counts, len(self.merchants), len(self.devices), self.amount / _UNIT)
+
+    def add(self, row: tuple) -> None:
+        at = bisect.bisect_right(self.times, row[0])
+        if at < len(self.times):
+            self.clean = False
+        self.times.insert(at, row[0])
+        self.rows.insert(at, row)
+        if self.clean:
+            self._count(row, 1)
+
+    def kept(self) -> list[tuple]:
+        if not self.times:
+            return []
+        return self.rows[bisect.bisect_left(self.times, self.times[-1] - DAY - SLACK):]
+
+
+# columns each step adds: name and type, in the order the state gives them
+CUSTOMER_COLUMNS = [
+    ("customer_history_count", "bigint"), ("_mu_c", "double"), ("_sd_c", "double"), ("_last_c", "bigint"),
+    ("_sum_c", "double"), *[(f"txn_count_{s}", "bigint") for s in SPANS],
+    ("distinct_merchants_24h", "bigint"), ("distinct_devices_24h", "bigint"), ("amount_sum_24h", "double"),
+]
+MERCHANT_COLUMNS = [("merchant_history_count", "bigint"), ("_mu_m", "double"), ("_sd_m", "double")]
+DEVICE_COLUMNS = [("device_history_count", "bigint"), ("_last_d", "bigint")]
+STEPS = {
+    "customer_id": (CUSTOMER_COLUMNS, [0, 1, 2, 3, 4]),
+    "merchant_id": (MERCHANT_COLUMNS, [0, 1, 2]),
+    "device_id": (DEVICE_COLUMNS, [0, 3]),
+}
+
+
+def step(key_name: str, moments: Moments, recent: Recent | None, rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows with the state before each; ``moments`` and ``recent`` move forward."""
+    columns, picked = STEPS[key_name]
+    rows = rows.sort_values(["ts_sec", "transaction_id"], kind="stable")
+    added = []
+    for ts, amount, merchant, device in zip(
+        rows["ts_sec"].tolist(), rows["amount"].tolist(), rows["merchant_id"].tolist(), rows["device_id"].tolist()
+    ):
+        state = moments.before()
+        line = [state[i] for i in picked]
+        if recent is not None:
+            line += recent.before(ts)
+            recent.add((ts, merchant, device, amount))
+        moments.add(ts, amount)
+        added.append(line)
+    extra = pd.DataFrame(added, columns=[name for name, _ in columns], index=rows.index)
+    for name, kind in columns:
+        extra[name] = extra[name].astype("Int64" if kind == "bigint" else "float64")
+    return pd.concat([rows, extra], axis=1)
+
+
+class EntityProcessor(StatefulProcessor):
+    """State store side of ``step`` for one kind of key."""
+
+    def __init__(self, key_name: str, columns: list[str]):
+        self.key_name, self.columns = key_name, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.moments = handle.getValueState("moments", MOMENTS)
+        self.recent = handle.getListState("recent", RECENT) if self.key_name == "customer_id" else None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows), ignore_index=True)
+        moments = Moments(*self.moments.get()) if self.moments.exists() else Moments()
+        recent = None
+        if self.recent is not None:
+            recent = Recent.of([tuple(r) for r in self.recent.get()] if self.recent.exists() else [])
+        out = step(self.key_name, moments, recent, batch)
+        self.moments.update((moments.n, moments.mean, moments.m2, moments.total, moments.last))
+        if recent is not None:
+            self.recent.put(recent.kept())
+        yield out[self.columns]
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        summary = initialState[initialState["n"].notna()]
+        if len(summary):
+            s = summary.iloc[0]
+            self.moments.update((int(s["n"]), float(s["mean"]), float(s["m2"]), float(s["total"]), int(s["last"])))
+        rows = initialState[initialState["ts"].notna()]
+        if self.recent is not None and len(rows):
+            self.recent.appendList(
+                [(int(r.ts), r.merchant, r.device, float(r.amount)) for r in rows.itertuples(index=False)]
+            )
+
+    def close(self) -> None:
+        pass
+
+
+def seed_rows(history: DataFrame, key: str) -> DataFrame:
+    """State that a history leaves behind: one summary line per key and, for customers,
+    the rows of the last day before the end of the history."""
+    x = F.log1p("amount")
+    summary = history.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(F.lit(1))).alias("m2"),
+        F.sum(C.exact(F.col("amount"))).cast("double").alias("total"), F.max("ts_sec").alias("last"),
+    )
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(RECENT)]
+    seed = summary.select(key, "n", "mean", "m2", "total", "last", *empty)
+    if key != "customer_id":
+        return seed
+    end = history.agg(F.max("ts_sec")).first()[0] or 0
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(MOMENTS)]
+    recent = history.filter(F.col("ts_sec") >= end - DAY).select(
+        key, *nothing, F.col("ts_sec").alias("ts"), F.col("merchant_id").alias("merchant"),
+        F.col("device_id").alias("device"), "amount",
+    )
+    return seed.unionByName(recent)
+
+
+def with_entity_state(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Chain the three keyed steps over a stream (or a batch) of calendar rows.
+
+    The session must use a state store provider that supports stateful processors
+    (RocksDB). ``history`` seeds the state without being scored.
+    """
+    out = rows
+    for key, (columns, _) in STEPS.items():
+        shape = T.StructType(out.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in columns])
+        seed = None if history is None else seed_rows(history, key).groupBy(key)
+        out = out.groupBy(key).transformWithStateInPandas(
+            EntityProcessor(key, shape.names), shape, "append", "none", initialState=seed
+        )
+    return out
