@@ -11,11 +11,13 @@ from __future__ import annotations
 
 import bisect
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,6 +222,9 @@ def with_entity_state(rows: DataFrame, history: DataFrame | None = None) -> Data
     The session must use a state store provider that supports stateful processors
     (RocksDB). ``history`` seeds the state without being scored.
     """
+    # the helper process that sets up a stateful query does not see files added to the
+    # session, so this module travels with the processor instead of being imported there
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     out = rows
     for key, (columns, _) in STEPS.items():
         shape = T.StructType(out.schema.fields + [T.StructField(n, T._parse_datatype_string(t)) for n, t in columns])
