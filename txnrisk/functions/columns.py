@@ -27,16 +27,18 @@ def coerced_label(text: Column) -> Column:
 
 
 def epoch_seconds(wall: Column) -> Column:
-    """Whole seconds since 1970 of a zone-free timestamp, whatever the session zone."""
-    return F.timestamp_diff("SECOND", F.expr(EPOCH_NTZ), F.date_trunc("second", wall))
+    """Whole seconds since 1970 (floor) of a zone-free timestamp, whatever the session
+    zone. Built from date and clock parts: differences of timestamps would pass through
+    the session zone and move the hour that a daylight-saving change skips."""
+    clock = F.hour(wall) * 3600 + F.minute(wall) * 60 + F.second(wall)
+    return F.unix_date(wall.cast("date")).cast("bigint") * DAY + clock
 
 
 def parsed_epoch(text: Column) -> Column:
     """Epoch seconds (floor) of timestamp text. Text without a zone is read as UTC."""
     t = F.trim(text)
     zoned = F.floor(F.unix_micros(t.try_cast("timestamp")) / F.lit(1_000_000)).cast("bigint")
-    plain = F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), t.try_cast("timestamp_ntz"))
-    return F.when(t.rlike(ZONE_SUFFIX), zoned).otherwise(F.floor(plain / F.lit(1_000_000)).cast("bigint"))
+    return F.when(t.rlike(ZONE_SUFFIX), zoned).otherwise(epoch_seconds(t.try_cast("timestamp_ntz")))
 
 
 def utc_wall(ts_sec: Column) -> Column:
