@@ -170,6 +170,8 @@ class EntityProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
+        # Spark may hand rows over as tuples, which renames columns with a leading underscore
+        batch.columns = self.columns[: len(batch.columns)]
         moments = Moments(*self.moments.get()) if self.moments.exists() else Moments()
         recent = None
         if self.recent is not None:
