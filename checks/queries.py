@@ -362,6 +362,19 @@ def amount_sum_24h_lines(spark, d):
     return rounded(_activity(I.lines_log(spark, d), "amount_sum_24h"), 4)
 
 
+@query
+def hot_key_state(spark, d):
+    """Entity state with the limits of one task set so low that most customers, merchants
+    and devices take the path for keys that do not fit one task."""
+    log = asof.TxnLog.build(tables.line_transactions(spark, d), heavy_limit=20, blocks=6)
+    rows = features.entity_history(log, log.rows)
+    return rounded(rows.select(
+        "transaction_id", "customer_history_count", "merchant_history_count", "device_history_count", "txn_count_5m",
+        "txn_count_30m", "txn_count_24h", "distinct_merchants_24h", "distinct_devices_24h", "amount_sum_24h",
+        F.col("_mu_c").alias("mean_c"), F.col("_sd_c").alias("sd_c"), F.col("_mu_m").alias("mean_m"), F.col("_last_d").alias("last_d"),
+    ), 4)
+
+
 @query
 def time_since(spark, d):
     rows = I.fitted_features(spark, d)

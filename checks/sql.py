@@ -365,6 +365,10 @@ for suffix, base in (("", EVENTS), ("_lines", LINES)):
     oracle("distinct_24h" + suffix, base, state("txn"), select="SELECT transaction_id, distinct_merchants_24h, distinct_devices_24h FROM recent")
     oracle("amount_sum_24h" + suffix, base, state("txn"), select="SELECT transaction_id, round(amount_sum_24h, 4) AS amount_sum_24h FROM recent")
     oracle("asof_supplied" + suffix, base, state("txn"), SUPPLIED, select="SELECT * EXCLUDE (is_fraud) FROM sup")
+oracle("hot_key_state", LINES, state("txn"), select="""
+ SELECT h.transaction_id, customer_history_count, merchant_history_count, device_history_count, txn_count_5m, txn_count_30m, txn_count_24h,
+  distinct_merchants_24h, distinct_devices_24h, round(amount_sum_24h, 4) AS amount_sum_24h, round(mu_c, 4) AS mean_c, round(sd_c, 4) AS sd_c,
+  round(mu_m, 4) AS mean_m, last_d FROM hist h JOIN recent r USING (transaction_id)""")
 oracle("time_since", *FULL, select="""
  SELECT transaction_id, round(time_since_customer_txn_log, 6) AS time_since_customer_txn_log,
   round(time_since_device_txn_log, 6) AS time_since_device_txn_log FROM feats""")

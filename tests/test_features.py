@@ -107,6 +107,14 @@ def test_heavy_path_input_order_and_future_rows_change_nothing(spark, rows):
     assert early == [r for r in full if r[0] in kept]
 
 
+def test_missing_ids_are_one_unknown_entity(spark):
+    rows = [(f"T{i}", 1_700_000_000 + i, None, "M", None, 10.0, 5, 0) for i in range(6)]
+    for limit in (2, 100):
+        log = TxnLog.build(spark.createDataFrame(rows, SCHEMA), heavy_limit=limit, blocks=2)
+        got = features.entity_history(log, log.rows).orderBy("seq").collect()
+        assert [(r.customer_history_count, r.device_history_count, r.txn_count_5m) for r in got] == [(i, i, i) for i in range(6)]
+
+
 def test_priors_fall_back_to_wider_segments():
     p = priors.Priors([("cold", "any", 1.0, 0.5, 3, 0.1), ("any", "high", 2.0, 0.6, 4, 0.2)], 9.0, 0.9, 7, 0.3, [])
     assert p.lookup("cold", "high")[0] == 1.0

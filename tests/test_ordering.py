@@ -32,20 +32,13 @@ def test_blockwise_equals_a_plain_scan(spark):
         past = seen.setdefault(k, [])
         assert got[i] == (len(past), sum(past), max(past, default=None))
         past.append(v)
-    after = {r.id: r.lo for r in blockwise(table, ["k"], {"lo": ("min", F.col("v"))}, after=True).collect()}
+    after = {r.id: r.lo for r in blockwise(table, ["k"], {}, after={"lo": ("min", F.col("v"))}).collect()}
     later = {}
     for i, k, v in reversed(rows):
         assert after[i] == min(later.get(k, []), default=None)
         later.setdefault(k, []).append(v)
 
 
-def test_null_keys_form_their_own_group(spark):
-    df = spark.createDataFrame([(1, None), (2, None), (3, "a"), (4, None)], "id bigint, k string")
-    table = ordered_table(df, "id", blocks=3)
-    got = {r.id: r.n for r in blockwise(table, ["k"], {"n": ("sum", F.lit(1))}).collect()}
-    assert got == {1: 0, 2: 1, 3: 0, 4: 2}
-
-
 def test_row_index(spark):
     rows, table = _table(spark)
     got = [r.row_index for r in with_row_index(table).orderBy("id").collect()]
@@ -58,6 +51,7 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
     probs = [0.0, 0.02, 0.25, 0.5, 0.993, 1.0]
     assert np.allclose(exact_quantiles(df, "x", probs), np.quantile(values, probs))
+    assert np.allclose(exact_quantiles(df, "x", probs, few=10), np.quantile(values, probs))
     assert exact_quantiles(df.filter("x > 1e9"), "x", [0.5]) == [None]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from txnrisk.functions import columns as C
 from txnrisk.operators.ordering import SEQ, blockwise, ordered_table
 from txnrisk.settings import DAY, SPANS
+from txnrisk.sources.scratch import materialise
 
 KEYS = ["customer_id", "merchant_id", "device_id"]
 DEFAULT_HEAVY_LIMIT = 1_000_000
@@ -32,8 +33,9 @@ class TxnLog:
 
     @classmethod
     def build(cls, df: DataFrame, heavy_limit: int = DEFAULT_HEAVY_LIMIT, blocks: int | None = None) -> TxnLog:
-        rows = ordered_table(df, "ts_sec", "transaction_id", blocks=blocks)
-        return cls.over(rows, heavy_limit)
+        """Order canonical rows. A missing id is one unknown entity with an empty id."""
+        known = df.withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in KEYS})
+        return cls.over(ordered_table(known, "ts_sec", "transaction_id", blocks=blocks), heavy_limit)
 
     @classmethod
     def over(cls, rows: DataFrame, heavy_limit: int = DEFAULT_HEAVY_LIMIT) -> TxnLog:
@@ -60,9 +62,8 @@ class TxnLog:
         """(rows of ordinary keys, rows of heavy keys or None)."""
         if self.heavy is None:
             return df, None
-        heavy = F.broadcast(self.heavy.filter(F.col("key_name") == key).select(F.col("key_value").alias("_heavy")))
-        match = df[key].eqNullSafe(heavy["_heavy"])
-        return df.join(heavy, match, "left_anti"), df.join(heavy, match, "left_semi")
+        heavy = F.broadcast(self.heavy.filter(F.col("key_name") == key).select(F.col("key_value").alias(key)))
+        return df.join(heavy, key, "left_anti").select(*df.columns), df.join(heavy, key, "left_semi").select(*df.columns)
 
 
 # --------------------------------------------------------------- whole history
@@ -156,8 +157,9 @@ def _partner_returns(df: DataFrame, key: str, sliced: bool) -> DataFrame:
     out = df
     for name, partner in PARTNERS.items():
         if sliced:
-            out = blockwise(out, [key, partner], {f"_prev_{name}": ("max", F.col("ts_sec"))})
-            out = blockwise(out, [key, partner], {f"_next_{name}": ("min", F.col("ts_sec"))}, after=True)
+            seconds = F.col("ts_sec")
+            previous, following = {f"_prev_{name}": ("max", seconds)}, {f"_next_{name}": ("min", seconds)}
+            out = blockwise(out, [key, partner], previous, after=following)
         else:
             pair = W.partitionBy(key, partner).orderBy(SEQ)
             out = out.select(
@@ -278,7 +280,7 @@ def _heavy_activity(
 ) -> DataFrame:
     """The same sweep for keys that do not fit one task: expiries of one second are
     added up first, and the events are put in blocks of their own order."""
-    rows = _partner_returns(heavy, key, sliced=True)
+    rows = materialise(_partner_returns(heavy, key, sliced=True), "heavy")  # read twice below
     entering = rows.select(
         key, F.inline(F.array(_event(F.col("ts_sec"), F.col(SEQ), payload, True, _deltas(spans, None, _entering()))))
     )
@@ -289,15 +291,14 @@ def _heavy_activity(
     )
     counts = {"n": F.col("n"), "amount": F.col("_amount"), **{p: F.col(p) for p in PARTNERS}}
     shape = entering.schema
-    expiring = None
-    for s, seconds in spans.items():
-        part = per_second.select(
-            key,
-            (F.col("ts_sec") + seconds + 1).alias(_AT),
-            F.lit(-1).cast("bigint").alias(_ORD),
-            *[F.lit(None).cast(shape[c].dataType).alias(c) for c in (_ROW, "_x", "_ts", "_a")],
+    nothing = [F.lit(None).cast(shape[c].dataType).alias(c) for c in (_ROW, "_x", "_ts", "_a")]
+    expiries = [
+        F.struct(
+            (F.col("ts_sec") + seconds + 1).alias(_AT), F.lit(-1).cast("bigint").alias(_ORD), *nothing,
             *_deltas(spans, s, counts),
         )
-        expiring = part if expiring is None else expiring.unionByName(part)
+        for s, seconds in spans.items()
+    ]
+    expiring = per_second.select(key, F.inline(F.array(*expiries)))
     events = ordered_table(entering.unionByName(expiring), _AT, _ORD, key, seq="_sweep")
     return _finished(_sliced_history(events, [key], aggs, "_sweep"), columns, key, aggs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnrisk.functions import columns as C
@@ -51,12 +52,10 @@ def renamed(df: DataFrame, schema: SchemaMap) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key: the first in the stated order. An aggregate, so copies of a
-    frequent key are dropped before the shuffle."""
-    rest = [c for c in df.columns if c != key and c not in order]
-    first = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first")
-    picked = df.groupBy(key).agg(first)
-    return picked.select(key, "_first.*").select(*df.columns)
+    """One row per key: the first in the stated order. Spark applies a row-number limit
+    on the map side too, so copies of a frequent key are dropped before the shuffle."""
+    nth = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    return df.withColumn("_nth", nth).filter(F.col("_nth") == 1).drop("_nth")
 
 
 def coerced(df: DataFrame) -> DataFrame:

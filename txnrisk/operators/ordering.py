@@ -55,41 +55,46 @@ def _combine(kind: str, a: Column, b: Column) -> Column:
     return F.greatest(a, b) if kind == "max" else F.least(a, b)
 
 
-def blockwise(df: DataFrame, keys: Sequence[str], bases: Bases, seq: str = SEQ, after: bool = False) -> DataFrame:
-    """Add, per row, aggregates over the rows of the same key that lie strictly
-    before it (or strictly after it) in ``seq`` order.
+def blockwise(
+    df: DataFrame, keys: Sequence[str], before: Bases, seq: str = SEQ, after: Bases | None = None
+) -> DataFrame:
+    """Add, per row, aggregates over the rows of the same key that lie strictly before
+    it in ``seq`` order, and those of ``after`` over the rows strictly behind it.
 
     Whole blocks are aggregated first (``groupBy`` combines on the map side) and
     summed up along the blocks; that table has at most one row per key and
-    block. Rows are windowed inside (key, block) only.
+    block. Rows are windowed inside (key, block) only, and the join back reuses that
+    partitioning. Keys must not be null.
     """
-    frame = (1, W.unboundedFollowing) if after else (W.unboundedPreceding, -1)
+    sides = [(before, (W.unboundedPreceding, -1)), (after or {}, (1, W.unboundedFollowing))]
+    every = [(name, kind, expr, frame) for bases, frame in sides for name, (kind, expr) in bases.items()]
     rows = df.withColumn("_block", block_of(seq))
     partial = rows.groupBy(*keys, "_block").agg(
-        *[_FN[kind](expr).alias(f"_part_{name}") for name, (kind, expr) in bases.items()]
+        *[_FN[kind](expr).alias(f"_part_{name}") for name, kind, expr, _ in every]
     )
-    along = W.partitionBy(*keys).orderBy("_block").rowsBetween(*frame)
+    along = W.partitionBy(*keys).orderBy("_block")
     carried = partial.select(
         *[F.col(k).alias(f"_key_{k}") for k in keys],
         F.col("_block").alias("_key_block"),
-        *[_FN[kind](f"_part_{name}").over(along).alias(f"_carry_{name}") for name, (kind, _) in bases.items()],
+        *[
+            _FN[kind](f"_part_{name}").over(along.rowsBetween(*frame)).alias(f"_carry_{name}")
+            for name, kind, _, frame in every
+        ],
     )
-    inside = W.partitionBy(*keys, "_block").orderBy(seq).rowsBetween(*frame)
+    inside = W.partitionBy(*keys, "_block").orderBy(seq)
     rows = rows.select(
-        "*", *[_FN[kind](expr).over(inside).alias(f"_in_{name}") for name, (kind, expr) in bases.items()]
+        "*",
+        *[_FN[kind](expr).over(inside.rowsBetween(*frame)).alias(f"_in_{name}") for name, kind, expr, frame in every],
     )
     if not keys:
         carried = F.broadcast(carried)  # one row per block
     match = F.col("_block") == F.col("_key_block")
     for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        match = match & (F.col(k) == F.col(f"_key_{k}"))
     joined = rows.join(carried, match, "left")
     return joined.select(
         *df.columns,
-        *[
-            _combine(kind, F.col(f"_carry_{name}"), F.col(f"_in_{name}")).alias(name)
-            for name, (kind, _) in bases.items()
-        ],
+        *[_combine(kind, F.col(f"_carry_{name}"), F.col(f"_in_{name}")).alias(name) for name, kind, _, _ in every],
     )
 
 
@@ -107,26 +112,36 @@ def value_counts_running(df: DataFrame, value: str, sums: dict[str, Column]) ->
     return blockwise(table, [], bases, "_vseq").drop("_vseq")
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+FEW_VALUES = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], few: int = FEW_VALUES) -> list[float | None]:
     """Exact quantiles with linear interpolation between neighbouring ranks.
 
-    ``percentile`` gathers all distinct values in one task; here the distinct
-    values stay spread over the blocks and only the wanted ranks are read.
+    Works on value counts. ``percentile`` gathers all distinct values in one task, so it
+    is used for up to ``few`` of them; beyond that the values stay spread over blocks
+    and only the wanted ranks are read.
     """
-    counts = value_counts_running(df.filter(F.col(value).isNotNull()), value, {"n": F.lit(1)})
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
+    counts = materialise(
+        df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), "counts"
+    )
+    distinct = counts.count()
+    if not distinct:
         return [None] * len(probs)
+    if distinct <= few:
+        return list(counts.agg(F.percentile(F.col(value).cast("double"), list(probs), F.col("n"))).first()[0])
+    total = counts.agg(F.sum("n")).first()[0]
     ranks: list[int] = []
     for p in probs:
         at = p * (total - 1)
         ranks += [int(at), min(int(at) + 1, total - 1)]
+    running = value_counts_running(counts, value, {"n": F.col("n")})
 
     def at_rank(r: int) -> Column:
         holds = (F.col("before_n") <= r) & (F.lit(r) < F.col("before_n") + F.col("n"))
         return F.max(F.when(holds, F.col(value)))
 
-    found = counts.agg(*[at_rank(r).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
+    found = running.agg(*[at_rank(r).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
     out = []
     for i, p in enumerate(probs):
         low, high = float(found[2 * i]), float(found[2 * i + 1])
