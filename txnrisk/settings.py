@@ -106,8 +106,6 @@ REASON_GROUPS: dict[str, list[str]] = {
 }
 
 BANDS = ["normal", "monitor", "review", "high-risk"]
-COHORTS = ["all", "known_customers", "unseen_customers", "first_time_customers",
-           "new_devices", "new_merchants"]
 STRATA = ["cold", "warm", "established"]
 TIERS = ["rare", "low", "mid", "high"]
 
