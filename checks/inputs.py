@@ -185,8 +185,14 @@ def stream_of(spark: SparkSession, rows: DataFrame, files: int, per_batch: int)
 def run_stream(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all available files and read its result table."""
     out = new_folder(spark, "result")
-    query = streams.start(df, out, new_folder(spark, "checkpoint"), available_only=True, mode=mode)
-    query.awaitTermination()
+    # one state store per shuffle partition and step: no more of them than there are cores
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", min(partitions, spark.sparkContext.defaultParallelism))
+    try:
+        query = streams.start(df, out, new_folder(spark, "checkpoint"), available_only=True, mode=mode)
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return spark.read.schema(df.schema).parquet(out)
 
 
