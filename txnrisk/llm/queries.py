@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.llm import decontaminate, langid, mixing, quality, simhash, tokens, warc
+from txnrisk.llm import decontaminate, extract, langid, mixing, quality, simhash, tokens, topk, warc
 from txnrisk.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,73 @@ def op6_warc(spark, sf_dir):
 
 
 ORACLES: dict[str, str] = {}
+
+
+@query
+def op5_html_text(spark, sf_dir):
+    return extract.extracted(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_topk(spark, sf_dir):
+    rows = topk.sign_codes(_table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("id"), "code")
+    return topk.nearest(rows, rows.filter("id % 20 = 0"), k=10)
+
+
+ORACLES["op10_topk"] = """
+WITH codes AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+  FROM embeddings WHERE embedding IS NOT NULL
+), pairs AS (
+  SELECT q.id AS query_id, r.id,
+    list_sum(list_transform(list_zip(q.bits, r.bits), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS distance
+  FROM codes q CROSS JOIN codes r WHERE q.id % 20 = 0
+)
+SELECT query_id, rank, id, CAST(distance AS INTEGER) AS distance FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM pairs)
+WHERE rank <= 10
+"""
+
+ORACLES["op8_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, size, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') AS gram FROM (
+    SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), grams AS (
+  SELECT doc_id, size, i, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') AS gram FROM (
+    SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+    FROM d CROSS JOIN (SELECT DISTINCT size FROM windows) WHERE len(w) >= size)
+), hits AS (
+  SELECT g.doc_id, g.i, g.size, x.item_id FROM grams g JOIN windows x ON g.size = x.size AND g.gram = x.gram
+), words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (
+    SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES["op6_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), f AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, hex, max(page_id) OVER (PARTITION BY hex) AS last FROM p
+), g AS (
+  SELECT *, list_transform(range(8), lambda i: CAST('0x' || hex[5 * i + 1:5 * i + 5] AS BIGINT)) AS parts FROM f
+)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM g
+"""
