@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.llm import decontaminate, extract, langid, mixing, quality, simhash, tokens, topk, warc
+from txnrisk.llm import decontaminate, extract, langid, lm, mixing, quality, simhash, tokens, topk, warc
 from txnrisk.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,11 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> last THEN last END AS refers_to
 FROM g
 """
+
+
+@query
+def op9_lm_score(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    model = lm.train(docs, remainder(10) != 0)
+    found = lm.scored(docs, model)
+    return found.select("doc_id", (remainder(10) == 0).alias("held_out"), *found.columns[1:])

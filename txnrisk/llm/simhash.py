@@ -243,9 +243,13 @@ def hexadecimal(fp: str = "fp"):
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Documents without
-    doc_id stay; rows that repeat a kept doc_id are reduced to the smallest text."""
+    """One document of each group: the one with the smallest doc_id. Documents without doc_id stay; of rows that
+    repeat doc_id and text one stays, rows that share a doc_id with different texts all do."""
     found = near_duplicates(docs, **how)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs["doc_id"] == F.col("_kept"), "left_semi")
-    return one.dropDuplicates(["doc_id"]).unionAll(docs.filter("doc_id is null"))
+    kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    kept = materialise(kept.select(F.col("doc_id").alias("_kept"), "_n"), "kept")
+    rows = docs.select(F.struct("*").alias("_row")).withColumn("_id", F.col("_row.doc_id").cast("bigint"))
+    single = rows.join(kept.filter("_n = 1"), F.col("_id") == F.col("_kept"))
+    several = rows.join(kept.filter("_n > 1"), F.col("_id") == F.col("_kept")).withColumn("_text", F.col("_row.text"))
+    several = several.dropDuplicates(["_id", "_text"])
+    return single.select("_row.*").unionAll(several.select("_row.*")).unionAll(docs.filter("doc_id is null"))
