@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from txnrisk.llm import decontaminate, langid, mixing, simhash, tokens
 from txnrisk.llm.common import remainder, ship
@@ -27,9 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     langs, probabilities = langid.fit(docs, model, remainder(5) != 0)
-    found = langid.predict(docs, model, langs, probabilities, docs.columns)
-    kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= CERTAIN)
-    return found.filter(kept).select(*docs.columns)
+    return langid.certain(docs, model, langs, probabilities, CERTAIN)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

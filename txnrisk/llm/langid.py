@@ -217,8 +217,8 @@ def fit(docs: DataFrame, model: str, where: Column | None = None) -> tuple[list[
     return langs, np.maximum(out / out.sum(axis=1, keepdims=True), FLOOR)
 
 
-def predict(docs: DataFrame, model: str, langs: list[str], probabilities: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs``, lang_pred and score."""
+def _judged(docs: DataFrame, model: str, langs: list[str], probabilities: np.ndarray, keep: list[str]) -> DataFrame:
+    """(row, lang_pred, score) with the columns ``keep`` in row."""
     row = F.struct(*[F.col(c) for c in keep]).alias("row")
     rows = docs.select(row, utf8("text").alias("_text"))
     schema = rows.select("row").schema["row"].dataType.simpleString()
@@ -246,5 +246,17 @@ def predict(docs: DataFrame, model: str, langs: list[str], probabilities: np.nda
                 names, top = [UNKNOWN] * n, np.zeros(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(top)], names=["row", "lang_pred", "score"])
 
-    out = rows.mapInArrow(score, f"row {schema}, lang_pred string, score double")
+    return rows.mapInArrow(score, f"row {schema}, lang_pred string, score double")
+
+
+def predict(docs: DataFrame, model: str, langs: list[str], probabilities: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs``, lang_pred and score."""
+    out = _judged(docs, model, langs, probabilities, keep)
     return out.select(*[F.col("row")[c].alias(c) for c in keep], "lang_pred", "score")
+
+
+def certain(docs: DataFrame, model: str, langs: list[str], probabilities: np.ndarray, least: float) -> DataFrame:
+    """The rows of ``docs`` in a language whose posterior is ``least`` or more."""
+    out = _judged(docs, model, langs, probabilities, docs.columns)
+    kept = out.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

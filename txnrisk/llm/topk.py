@@ -87,6 +87,8 @@ class Index:
         distance = np.bitwise_count(self.codes[found] ^ queries[open_][asks]).astype(np.int64)
         key = (distance << 40) | found
         near = key < best[open_, -1][asks]
+        if not near.any():
+            return
         asks, key = asks[near], key[near]
         touched = np.unique(asks)
         held = best[open_[touched]]
