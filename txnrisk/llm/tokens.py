@@ -156,17 +156,17 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray
 def write_shards(
     docs: DataFrame, tokenizer: str, order: list[Column] | None = None, end: int = 2, folder: str | None = None
 ) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) and write the shards in ascending ``order`` (doc_id, text if
-    not given); returns the manifest, one row per shard."""
+    """Encode ``docs`` (doc_id, text) and write the shards in ascending ``order`` (doc_id if not given), then
+    text; returns the manifest, one row per shard."""
     folder = folder or fresh_folder(docs.sparkSession, "tokens")
-    order = order or [F.col("doc_id"), F.col("text")]
+    order = order or [F.col("doc_id")]
     keys = [f"_order{i}" for i in range(len(order))]
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"),
         utf8("text").alias("text"),
         *[c.alias(k) for c, k in zip(order, keys, strict=True)],
     )
-    ranged = rows.repartitionByRange(keys[0]).sortWithinPartitions(*keys).select("doc_id", "text")
+    ranged = rows.repartitionByRange(keys[0]).sortWithinPartitions(*keys, "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
