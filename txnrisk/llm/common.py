@@ -61,6 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
                 stop += 1
             yield batch.slice(start, stop - start), texts
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

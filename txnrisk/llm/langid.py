@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import slices, utf8
+from txnrisk.llm.common import SLICE_BYTES, slices, utf8
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
 START = "▁"
 UNKNOWN = "und"
+#: Bytes of text at a time, for up to four languages; the sums of more languages need more room for each word.
+SLICE = SLICE_BYTES * 5 // 8
 #: Pseudo-count of every piece, and the least probability of one.
 SMOOTH, FLOOR = 0.05, 1e-8
 
@@ -191,7 +193,7 @@ def fit(docs: DataFrame, model: str, where: Column | None = None) -> tuple[list[
         n = vocab.unknown + 1
         even = np.full(n, 1 / n)
         found: dict[str, np.ndarray] = {}
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", SLICE):
             langs = np.repeat(np.array(batch.column(1).to_pylist(), object), 1)
             codes, counts, words, owner = distinct_words(texts)
             if not words:
@@ -226,7 +228,7 @@ def _judged(docs: DataFrame, model: str, langs: list[str], probabilities: np.nda
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, p = pieces(model), sent.value
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, "_text", SLICE * 4 // max(4, len(langs))):
             codes, counts, words, owner = distinct_words(texts)
             n = len(texts)
             sums, letters = np.zeros((n, len(langs))), np.zeros(n)

@@ -32,8 +32,8 @@ from txnrisk.sources.scratch import materialise
 
 MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
 READ = "doc_id bigint, shard int, nth int, offset bigint, n_tokens bigint, ids_crc32 bigint"
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Distinct chunks of text whose ids a task remembers.
+REMEMBERED = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -132,15 +132,6 @@ class Encoder:
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Append ``end`` to every document."""
     after = lengths + 1
@@ -171,8 +162,8 @@ def write_shards(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         name = f"{folder}/part-{shard:06d}.pfor"
-        encode, out, writer = encoder(tokenizer), None, None
-        for batch, texts in slices(batches, "text", 8 << 20):
+        encode, out, writer = Encoder(tokenizer), None, None
+        for batch, texts in slices(batches, "text"):
             if writer is None:
                 out = AtomicFile(name)
                 writer = pfor.ShardWriter(out)
