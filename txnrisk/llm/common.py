@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -43,6 +46,14 @@ def remainder(modulus: int, name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % modulus
 
 
+def release() -> None:
+    """Give free memory back to the system: a worker goes on to other tasks, and others run beside it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches so that no slice has more than ``limit`` bytes of ``text``, one row
     at least; yields each slice with its texts."""
@@ -61,7 +72,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
                 stop += 1
             yield batch.slice(start, stop - start), texts
             start = stop
-    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+    release()
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

@@ -37,7 +37,7 @@ LONGEST = 32
 START = "▁"
 UNKNOWN = "und"
 #: Bytes of text at a time, for up to four languages; the sums of more languages need more room for each word.
-SLICE = SLICE_BYTES * 5 // 8
+SLICE = SLICE_BYTES * 3 // 8
 #: Pseudo-count of every piece, and the least probability of one.
 SMOOTH, FLOOR = 0.05, 1e-8
 

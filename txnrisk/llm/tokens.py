@@ -27,13 +27,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnrisk.llm import pfor
-from txnrisk.llm.common import AtomicFile, fresh_folder, opened, slices, spread, utf8
+from txnrisk.llm.common import AtomicFile, fresh_folder, opened, release, slices, spread, utf8
 from txnrisk.sources.scratch import materialise
 
 MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
 READ = "doc_id bigint, shard int, nth int, offset bigint, n_tokens bigint, ids_crc32 bigint"
 #: Distinct chunks of text whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 @lru_cache(maxsize=2)
@@ -172,6 +172,8 @@ def write_shards(
         if writer is not None:
             n_docs, n_ids = writer.close()
             out.commit()
+            del encode, writer, ids, lengths, texts, batch
+            release()
             yield pa.RecordBatch.from_pydict(
                 {"shard": pa.array([shard], pa.int32()), "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]}
             )
