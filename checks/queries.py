@@ -249,9 +249,9 @@ def first_time_flags(spark, d):
 @query
 def strata_tiers(spark, d):
     log = I.lines_log(spark, d)
-    rows = asof.history(log, log.rows, "customer_id", {"n_c": ("count", None), "last_c": ("max", F.col("ts_sec"))})
+    rows = asof.history(log, log.rows, "customer_id", {"n_c": ("count", None), "first_c": ("min", F.col("ts_sec"))})
     rows = asof.history(log, rows, "merchant_id", {"n_m": ("count", None)})
-    days = F.coalesce((F.col("ts_sec") - F.col("last_c")) / 86_400.0, F.lit(0.0))
+    days = F.coalesce((F.col("ts_sec") - F.col("first_c")) / 86_400.0, F.lit(0.0))
     return rows.groupBy(
         C.stratum(F.col("n_c")).alias("stratum"), C.stratum_with_tenure(F.col("n_c"), days).alias("with_tenure"),
         C.merchant_tier(F.col("n_m")).alias("tier"),
@@ -837,7 +837,7 @@ def tree_contrib(spark, d):
 @query
 def tree_importance(spark, d):
     found = attribution.tree_attribution(spark, I.boosted(spark, d).stages[-1])
-    test = splits.sample_rows(_fold(spark, d, "test"), "transaction_id", DEFAULTS.importance_sample)
+    test = _fold(spark, d, "test")
     return rounded(reasons.global_importance(test.withColumn("contributions", found.contributions(spark)), MODEL_FEATURES))
 
 

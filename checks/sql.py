@@ -324,9 +324,9 @@ oracle("first_time_flags", *FULL, select="""
   greatest(first_time_customer, new_device, new_merchant) AS first_time_any FROM feats""")
 oracle("strata_tiers", LINES, select=f"""
  SELECT {STRATUM.format(n='n_c')} AS stratum,
-  CASE WHEN n_c <= 0 THEN 'cold' WHEN n_c < 5 OR coalesce(ts_sec - last_c, 0) < 7 * 86400 THEN 'warm' ELSE 'established' END AS with_tenure,
+  CASE WHEN n_c <= 0 THEN 'cold' WHEN n_c < 5 OR coalesce(ts_sec - first_c, 0) < 7 * 86400 THEN 'warm' ELSE 'established' END AS with_tenure,
   {TIER.format(n='n_m')} AS tier, count(*) AS rows
- FROM (SELECT ts_sec, count(*) OVER {before('customer_id')} AS n_c, max(ts_sec) OVER {before('customer_id')} AS last_c,
+ FROM (SELECT ts_sec, count(*) OVER {before('customer_id')} AS n_c, min(ts_sec) OVER {before('customer_id')} AS first_c,
   count(*) OVER {before('merchant_id')} AS n_m FROM txn) GROUP BY 1, 2, 3""")
 oracle("half_split", EVENTS, select="""
  SELECT transaction_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || transaction_id), transaction_id)

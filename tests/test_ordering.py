@@ -51,7 +51,6 @@ def test_exact_quantiles_match_numpy(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
     probs = [0.0, 0.02, 0.25, 0.5, 0.993, 1.0]
     assert np.allclose(exact_quantiles(df, "x", probs), np.quantile(values, probs))
-    assert np.allclose(exact_quantiles(df, "x", probs, few=10), np.quantile(values, probs))
     assert exact_quantiles(df.filter("x > 1e9"), "x", [0.5]) == [None]
 
 

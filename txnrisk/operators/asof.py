@@ -33,8 +33,9 @@ class TxnLog:
 
     @classmethod
     def build(cls, df: DataFrame, heavy_limit: int = DEFAULT_HEAVY_LIMIT, blocks: int | None = None) -> TxnLog:
-        """Order canonical rows. A missing id is one unknown entity with an empty id."""
-        known = df.withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in KEYS})
+        """Order canonical rows. A missing id is one unknown entity with an empty id; rows without an
+        amount are no part of any history and are left out."""
+        known = df.filter(F.col("amount").isNotNull()).withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in KEYS})
         return cls.over(ordered_table(known, "ts_sec", "transaction_id", blocks=blocks), heavy_limit)
 
     @classmethod
@@ -73,7 +74,7 @@ Aggs = dict[str, tuple[str, Column | None]]
 def history(log: TxnLog, df: DataFrame, key: str, aggs: Aggs) -> DataFrame:
     """Add aggregates over all earlier rows with the same key.
 
-    ``aggs`` maps a new column to (kind, input), kind being count, sum, max, mean
+    ``aggs`` maps a new column to (kind, input), kind being count, sum, min, max, mean
     or sd (population, 0 for fewer than two rows). Ordinary keys take one window,
     heavy keys the block-wise form of the same aggregates.
     """
@@ -82,6 +83,7 @@ def history(log: TxnLog, df: DataFrame, key: str, aggs: Aggs) -> DataFrame:
     one = {
         "count": lambda x: F.count(F.lit(1)).over(before),
         "sum": lambda x: F.coalesce(F.sum(x).over(before), F.lit(0)),
+        "min": lambda x: F.min(x).over(before),
         "max": lambda x: F.max(x).over(before),
         "mean": lambda x: F.avg(x).over(before),
         "sd": lambda x: F.coalesce(F.stddev_pop(x).over(before), F.lit(0.0)),
@@ -95,7 +97,7 @@ def history(log: TxnLog, df: DataFrame, key: str, aggs: Aggs) -> DataFrame:
 def _sliced_history(df: DataFrame, keys: list[str], aggs: Aggs, seq: str) -> DataFrame:
     bases: dict[str, tuple[str, Column]] = {}
     for name, (kind, x) in aggs.items():
-        if kind in ("sum", "max"):
+        if kind in ("sum", "min", "max"):
             bases[f"_{name}"] = (kind, x)
         else:
             present = F.lit(1) if x is None else x.isNotNull().cast("int")
@@ -107,7 +109,7 @@ def _sliced_history(df: DataFrame, keys: list[str], aggs: Aggs, seq: str) -> Dat
     rows = blockwise(df, keys, bases, seq)
 
     def finished(name: str, kind: str) -> Column:
-        if kind in ("sum", "max"):
+        if kind in ("sum", "min", "max"):
             return F.col(f"_{name}")
         n = F.col(f"_{name}_n")
         if kind == "count":

@@ -112,24 +112,16 @@ def value_counts_running(df: DataFrame, value: str, sums: dict[str, Column]) ->
     return blockwise(table, [], bases, "_vseq").drop("_vseq")
 
 
-FEW_VALUES = 1_000_000
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], few: int = FEW_VALUES) -> list[float | None]:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation between neighbouring ranks.
 
-    Works on value counts. ``percentile`` gathers all distinct values in one task, so it
-    is used for up to ``few`` of them; beyond that the values stay spread over blocks
-    and only the wanted ranks are read.
+    Works on value counts that stay spread over blocks; only the wanted ranks are read.
     """
     counts = materialise(
         df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), "counts"
     )
-    distinct = counts.count()
-    if not distinct:
+    if counts.isEmpty():
         return [None] * len(probs)
-    if distinct <= few:
-        return list(counts.agg(F.percentile(F.col(value).cast("double"), list(probs), F.col("n"))).first()[0])
     total = counts.agg(F.sum("n")).first()[0]
     ranks: list[int] = []
     for p in probs:
