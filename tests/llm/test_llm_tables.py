@@ -164,6 +164,11 @@ def test_decontamination(docs, empty, spark):
     text = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
     assert "worst" not in text[1][0] and text[1][1] == len(text[1][0]) and text[3][0] is None
     assert {r.doc_id for r in decontaminate.cleaned(docs, items).collect()}.isdisjoint({1, 2, 11})
+    small = decontaminate.cleaned(docs, items, coverage=0.9, block_words=3)  # one pass a block
+    assert {r.doc_id: (r.text, r.n_chars) for r in small.collect()} == text
+    edge = spark.createDataFrame([(1, "a b c d e f g " + "x " * 133), (2, "a b c d e f g " + "x " * 134)], "doc_id bigint, text string")
+    seven = spark.createDataFrame([(1, "a b c d e f g")], "item_id bigint, text string")
+    assert [r.doc_id for r in decontaminate.cleaned(edge, seven).collect()] == [2]  # exactly a twentieth goes
     assert decontaminate.contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.contamination(empty, items).count() == decontaminate.cleaned(empty, items).count() == 0
 

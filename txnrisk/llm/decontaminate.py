@@ -244,25 +244,41 @@ def cleaned(docs: DataFrame, items: DataFrame, coverage: float = 0.05, window: i
     packed = docs.select(F.struct(*keys).alias("row"), F.col("text").isNull().alias("absent"), F.col("text"), F.lit(0).cast("bigint").alias("doc_id"))
     schema = packed.select("row").schema["row"].dataType.simpleString()
 
-    rows = packed.select("row", "absent", utf8("text").alias("text"))
-    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks_of(items, block_words)]
+    hits = F.expr("array()").cast("array<int>")
+    rows = packed.select("row", "absent", utf8("text").alias("text"), F.lit(0).alias("n_words"), hits.alias("first"), hits.alias("last"))
+    for block in blocks_of(items, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(block)  # at most block_words words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [Automaton([(item, words_of(text)) for item, text in b.value], window) for b in sent]
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton = Automaton([(item, words_of(text)) for item, text in sent.value], window)
+            for batch, texts in slices(batches, "text"):
+                counts, first, last = [], batch.column(4).to_pylist(), batch.column(5).to_pylist()
+                for i, text in enumerate(texts):
+                    words = words_of(text)
+                    found = automaton.occurrences(words)[0]
+                    counts.append(len(words))
+                    first[i] += [a for a, _ in found]
+                    last[i] += [b for _, b in found]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:3], pa.array(counts, pa.int32()), pa.array(first, pa.list_(pa.int32())), pa.array(last, pa.list_(pa.int32()))],
+                    names=["row", "absent", "text", "n_words", "first", "last"],
+                )
+
+        rows = rows.mapInArrow(run, f"row {schema}, absent boolean, text binary, n_words int, first array<int>, last array<int>")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             keep, out = [], []
-            for i, text in enumerate(texts):
-                words = words_of(text)
-                hits = sorted(h for a in automata for h in a.occurrences(words)[0])
-                n = _hit([a for a, _ in hits], [b for _, b in hits])
-                if n and n >= coverage * len(words):
+            for i, (text, words, first, last) in enumerate(zip(texts, *(batch.column(c).to_pylist() for c in (3, 4, 5)), strict=True)):
+                n = _hit(first, last)
+                if n and n / words >= coverage:  # the quotient, so that a share of exactly ``coverage`` counts
                     continue
                 keep.append(i)
-                out.append(without(text, hits) if hits else text)
+                out.append(without(text, sorted(zip(first, last, strict=True))) if n else text)
             picked = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), pa.array(out, pa.binary())], names=["row", "absent", "text"])
 
-    kept = rows.mapInArrow(run, f"row {schema}, absent boolean, text binary")
+    kept = rows.mapInArrow(cut, f"row {schema}, absent boolean, text binary")
     text = F.when(~F.col("absent"), F.decode(F.col("text"), "UTF-8"))
     columns = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
