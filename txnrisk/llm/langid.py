@@ -10,7 +10,7 @@ over all segmentations of its training words (forward-backward under equal proba
 smoothed. A text's score is the posterior of its best language under equal priors.
 
 Words repeat, so a slice of texts is reduced to its distinct words, and the recursions run
-over all of these at once. The model has at most vocabulary x languages numbers.
+over some thousands of these at once. The model has at most vocabulary x languages numbers.
 
 Null texts and texts without a letter are ``und`` with score 0; a tie goes to the first language by
 name. Rows without lang aren't learned from; without training rows every text is ``und``.
@@ -36,8 +36,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
 START = "▁"
 UNKNOWN = "und"
-#: Bytes of text at a time, for up to four languages; the sums of more languages need more room for each word.
-SLICE = SLICE_BYTES * 3 // 8
+#: Distinct words of one lattice, for up to four languages; the sums of more languages need more room for each word.
+WORDS = 8192
+#: Bytes of text at a time.
+SLICE = SLICE_BYTES // 2
 #: Pseudo-count of every piece, and the least probability of one.
 SMOOTH, FLOOR = 0.05, 1e-8
 
@@ -198,13 +200,15 @@ def fit(docs: DataFrame, model: str, where: Column | None = None) -> tuple[list[
             codes, counts, words, owner = distinct_words(texts)
             if not words:
                 continue
-            lattice = Lattice(vocab, words)
-            share = lattice.expected(even)
             of_chunk = np.repeat(langs, counts)
             chunks = int(codes.max()) + 1
-            for lang in set(langs):
-                times = np.bincount(codes[of_chunk == lang], minlength=chunks)[owner][lattice.word]
-                found[lang] = found.get(lang, 0) + np.bincount(lattice.piece, share * times, n)
+            times = {lang: np.bincount(codes[of_chunk == lang], minlength=chunks)[owner] for lang in set(langs)}
+            for a in range(0, len(words), WORDS):
+                lattice = Lattice(vocab, words[a : a + WORDS])
+                share = lattice.expected(even)
+                for lang, of_word in times.items():
+                    sums = np.bincount(lattice.piece, share * of_word[a : a + WORDS][lattice.word], n)
+                    found[lang] = found.get(lang, 0) + sums
         for lang, sums in found.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "piece": pa.array(at, pa.int32()), "n": sums[at]})
@@ -228,12 +232,13 @@ def _judged(docs: DataFrame, model: str, langs: list[str], probabilities: np.nda
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, p = pieces(model), sent.value
-        for batch, texts in slices(batches, "_text", SLICE * 4 // max(4, len(langs))):
+        step = max(1, WORDS * 4 // max(4, len(langs)))
+        for batch, texts in slices(batches, "_text", SLICE):
             codes, counts, words, owner = distinct_words(texts)
             n = len(texts)
             sums, letters = np.zeros((n, len(langs))), np.zeros(n)
             if words and langs:
-                logs = np.log(Lattice(vocab, words).totals(p))
+                logs = np.log(np.concatenate([Lattice(vocab, words[a : a + step]).totals(p) for a in range(0, len(words), step)]))
                 chunks = int(codes.max()) + 1
                 text = np.repeat(np.arange(n), counts)
                 letters = np.bincount(text, np.bincount(owner, minlength=chunks)[codes], n)
