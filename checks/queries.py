@@ -375,6 +375,27 @@ def hot_key_state(spark, d):
     ), 4)
 
 
+@query
+def hot_key_agreement(spark, d):
+    """Largest relative difference of the unrounded state between the two paths, as a verdict per column."""
+    lines = tables.line_transactions(spark, d)
+    columns = ["_mu_c", "_sd_c", "_mu_m", "_sd_m"]
+    plain, sliced = (
+        features.entity_history(log, log.rows).select("transaction_id", *columns)
+        for log in (asof.TxnLog.build(lines), asof.TxnLog.build(lines, heavy_limit=20, blocks=6))
+    )
+    both = plain.alias("a").join(sliced.alias("b"), "transaction_id")
+
+    def apart(c):
+        a, b = (F.coalesce(F.col(f"{side}.{c}"), F.lit(0.0)) for side in "ab")
+        return F.max(F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1e-6)))
+
+    worst = both.agg(F.count(F.lit(1)).alias("n"), *[apart(c).alias(c) for c in columns])
+    return worst.selectExpr("n", "stack(4, '_mu_c', _mu_c, '_sd_c', _sd_c, '_mu_m', _mu_m, '_sd_m', _sd_m) AS (name, apart)").select(
+        "n", "name", (F.col("apart") < 1e-9).alias("agrees")
+    )
+
+
 @query
 def time_since(spark, d):
     rows = I.fitted_features(spark, d)

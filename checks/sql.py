@@ -369,6 +369,8 @@ oracle("hot_key_state", LINES, state("txn"), select="""
  SELECT h.transaction_id, customer_history_count, merchant_history_count, device_history_count, txn_count_5m, txn_count_30m, txn_count_24h,
   distinct_merchants_24h, distinct_devices_24h, round(amount_sum_24h, 4) AS amount_sum_24h, round(mu_c, 4) AS mean_c, round(sd_c, 4) AS sd_c,
   round(mu_m, 4) AS mean_m, last_d FROM hist h JOIN recent r USING (transaction_id)""")
+oracle("hot_key_agreement", LINES, select="""
+ SELECT n, name, true AS agrees FROM (SELECT count(*) AS n FROM txn), (VALUES ('_mu_c'), ('_sd_c'), ('_mu_m'), ('_sd_m')) v(name)""")
 oracle("time_since", *FULL, select="""
  SELECT transaction_id, round(time_since_customer_txn_log, 6) AS time_since_customer_txn_log,
   round(time_since_device_txn_log, 6) AS time_since_device_txn_log FROM feats""")

@@ -15,16 +15,15 @@ from txnrisk.sources.scratch import materialise
 
 KEYS = ["customer_id", "merchant_id", "device_id"]
 DEFAULT_HEAVY_LIMIT = 1_000_000
-_MAX_HEAVY = 50_000
 
 
 @dataclass(frozen=True)
 class TxnLog:
     """Canonical transactions in their total order, with the keys too frequent for one task.
 
-    ``heavy`` lists (key_name, key_value) pairs with more than ``limit`` rows. At
-    most rows / limit values per key column can be heavy, and ``limit`` rises with
-    the table, so the list never exceeds 3 x 50,000 rows: it is safe to broadcast.
+    ``heavy`` is a written table of the (key_name, key_value) pairs with more than ``limit`` rows, the
+    most that one task should sort. The limit doesn't rise with the table, so the list may: at most
+    rows / limit values per key column. It is joined, and Spark broadcasts it only if it is small.
     """
 
     rows: DataFrame
@@ -40,17 +39,12 @@ class TxnLog:
 
     @classmethod
     def over(cls, rows: DataFrame, heavy_limit: int = DEFAULT_HEAVY_LIMIT) -> TxnLog:
-        n = rows.count()
-        if n <= heavy_limit:
+        if rows.count() <= heavy_limit:
             return cls(rows, None, heavy_limit)
-        limit = max(heavy_limit, n // _MAX_HEAVY)
         pairs = rows.select(F.explode(F.create_map(*[x for k in KEYS for x in (F.lit(k), F.col(k))])))
         counts = pairs.toDF("key_name", "key_value").groupBy("key_name", "key_value").count()
-        heavy = counts.filter(F.col("count") > limit).select("key_name", "key_value").collect()
-        if not heavy:
-            return cls(rows, None, limit)
-        table = rows.sparkSession.createDataFrame(heavy, "key_name string, key_value string")
-        return cls(rows, table, limit)
+        heavy = materialise(counts.filter(F.col("count") > heavy_limit).select("key_name", "key_value"), "heavy")
+        return cls(rows, None if heavy.isEmpty() else heavy, heavy_limit)
 
     def where(self, condition: Column) -> TxnLog:
         """A part of the log in the same order; heavy keys stay marked."""
@@ -63,7 +57,7 @@ class TxnLog:
         """(rows of ordinary keys, rows of heavy keys or None)."""
         if self.heavy is None:
             return df, None
-        heavy = F.broadcast(self.heavy.filter(F.col("key_name") == key).select(F.col("key_value").alias(key)))
+        heavy = self.heavy.filter(F.col("key_name") == key).select(F.col("key_value").alias(key))
         return df.join(heavy, key, "left_anti").select(*df.columns), df.join(heavy, key, "left_semi").select(*df.columns)
 
 
@@ -95,17 +89,26 @@ def history(log: TxnLog, df: DataFrame, key: str, aggs: Aggs) -> DataFrame:
 
 
 def _sliced_history(df: DataFrame, keys: list[str], aggs: Aggs, seq: str) -> DataFrame:
+    """The block-wise form. Deviations are summed around the key's first value: any centre gives the same
+    result, and this one is part of every history, so rounding stays within n times that of one number."""
     bases: dict[str, tuple[str, Column]] = {}
+    columns = df.columns
+    spread = {name: x for name, (kind, x) in aggs.items() if kind == "sd"}
+    if spread:
+        finite = {name: (x, F.when(F.abs(x) < F.lit(float("inf")), F.col(seq))) for name, x in spread.items()}
+        centres = df.groupBy(*keys).agg(*[F.coalesce(F.min_by(*by), F.lit(0.0)).alias(f"_{name}_c") for name, by in finite.items()])
+        df = df.join(centres, keys)
     for name, (kind, x) in aggs.items():
         if kind in ("sum", "min", "max"):
             bases[f"_{name}"] = (kind, x)
         else:
             present = F.lit(1) if x is None else x.isNotNull().cast("int")
             bases[f"_{name}_n"] = ("sum", present.cast("bigint"))
-            if kind in ("mean", "sd"):
-                bases[f"_{name}_1"] = ("sum", x)
             if kind == "sd":
+                x = x - F.col(f"_{name}_c")
                 bases[f"_{name}_2"] = ("sum", x * x)
+            if kind in ("mean", "sd"):
+                bases[f"_{name}_1"] = ("sum", x)
     rows = blockwise(df, keys, bases, seq)
 
     def finished(name: str, kind: str) -> Column:
@@ -120,7 +123,7 @@ def _sliced_history(df: DataFrame, keys: list[str], aggs: Aggs, seq: str) -> Dat
         variance = F.col(f"_{name}_2") / n - mean * mean
         return F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(F.lit(0.0))
 
-    return rows.select(*df.columns, *[finished(name, kind).alias(name) for name, (kind, _) in aggs.items()])
+    return rows.select(*columns, *[finished(name, kind).alias(name) for name, (kind, _) in aggs.items()])
 
 
 def running_global(log: TxnLog, df: DataFrame) -> DataFrame:
