@@ -92,6 +92,8 @@ def test_simhash(docs, empty, spark):
     assert by[2] == 1 and by[3] == by[4] == by[5] == 3 and by[8] == 8
     kept = [r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()]
     assert sorted(x for x in kept if x is not None) == sorted({c for i, c in by.items()}) and kept.count(None) == 2
+    shuffled = simhash.keep_one(docs, broadcast_ids=0)
+    assert sorted(map(repr, shuffled.collect())) == sorted(map(repr, simhash.keep_one(docs).collect()))
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).columns == docs.columns
 
 

@@ -242,14 +242,26 @@ def hexadecimal(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_ids: int = 1_000_000, **how) -> DataFrame:
     """One document of each group: the one with the smallest doc_id. Documents without doc_id stay; of rows that
-    repeat doc_id and text one stays, rows that share a doc_id with different texts all do."""
-    found = near_duplicates(docs, **how)
-    kept = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    kept = materialise(kept.select(F.col("doc_id").alias("_kept"), "_n"), "kept")
+    repeat doc_id and text one stays, rows that share a doc_id with different texts all do.
+
+    The ids that go, and those that repeat, are the table joined with the texts: up to ``broadcast_ids`` of them
+    (16 bytes each) are broadcast, so that no text is shuffled; more are joined by a shuffle, with the same result."""
+    found = near_duplicates(docs, **how).filter("doc_id is not null")
+    stays = F.sum(F.when(F.col("doc_id") == F.col("component_id"), 1).otherwise(0))
+    ids = found.groupBy(F.col("doc_id").alias("_marked")).agg(stays.alias("_n"))
+    marked = materialise(ids.filter("_n <> 1"), "marked")
+    several = marked.filter("_n > 1")
+
+    def sized(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+
     rows = docs.select(F.struct("*").alias("_row")).withColumn("_id", F.col("_row.doc_id").cast("bigint"))
-    single = rows.join(kept.filter("_n = 1"), F.col("_id") == F.col("_kept"))
-    several = rows.join(kept.filter("_n > 1"), F.col("_id") == F.col("_kept")).withColumn("_text", F.col("_row.text"))
-    several = several.dropDuplicates(["_id", "_text"])
-    return single.select("_row.*").unionAll(several.select("_row.*")).unionAll(docs.filter("doc_id is null"))
+    # a doc_id that is no number has no id either
+    kept = rows.filter("_id is not null").join(sized(marked.select("_marked")), F.col("_id") == F.col("_marked"), "left_anti")
+    kept = kept.select("_row.*").unionAll(rows.filter("_id is null").select("_row.*"))
+    if several.isEmpty():
+        return kept
+    repeated = rows.join(sized(several.select("_marked")), F.col("_id") == F.col("_marked")).withColumn("_text", F.col("_row.text"))
+    return kept.unionAll(repeated.dropDuplicates(["_id", "_text"]).select("_row.*"))
