@@ -133,15 +133,8 @@ def train_customers(spark: SparkSession, folder: str) -> DataFrame:
     return prepared(spark, folder).log.rows.filter(F.col("fold") == "train").select("customer_id").distinct()
 
 
-# small trees: the check runs on a laptop-size table
-TREES = models.TreeParams(forest_trees=40, forest_depth=8, boost_rounds=30, boost_depth=5)
-
-
 def trained(spark: SparkSession, folder: str) -> scoring.Trained:
-    return _once(
-        spark, folder, "trained",
-        lambda: scoring.train(events_log(spark, folder), size=TREES, forest_trees=100, forest_sample=1024),
-    )
+    return _once(spark, folder, "trained", lambda: scoring.train(events_log(spark, folder)))
 
 
 def test_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,9 +149,7 @@ def boosted(spark: SparkSession, folder: str):
     rows = fitted_features(spark, folder)
     return _once(
         spark, folder, "boosted",
-        lambda: models.fit_boosting(
-            rows.filter(F.col("fold") == "train"), rows.filter(F.col("fold") == "val"), size=TREES
-        ),
+        lambda: models.fit_boosting(rows.filter(F.col("fold") == "train"), rows.filter(F.col("fold") == "val")),
     )
 
 

@@ -794,7 +794,7 @@ def lr_scores(spark, d):
 
 @query
 def rf_scores(spark, d):
-    model = models.fit_forest(_fold(spark, d, "train"), size=I.TREES)
+    model = models.fit_forest(_fold(spark, d, "train"))
     return rounded(models.with_raw_probability(model, _fold(spark, d, "val")).select("transaction_id", "raw_probability"))
 
 
@@ -817,7 +817,7 @@ def calibrated(spark, d):
 
 @query
 def isolation_novelty(spark, d):
-    forest = novelty.fit_isolation_forest(splits.legitimate(_fold(spark, d, "train")), trees=100, sample=1024)
+    forest = novelty.fit_isolation_forest(splits.legitimate(_fold(spark, d, "train")))
     val = _fold(spark, d, "val").withColumn("deviation", forest.deviation(spark))
     ecdf = novelty.fit_ecdf(splits.legitimate(val), "deviation")
     return rounded(novelty.ecdf_rank(val, "deviation", ecdf).select("transaction_id", "deviation", "novelty"))
@@ -826,7 +826,7 @@ def isolation_novelty(spark, d):
 @query
 def novelty_variants(spark, d):
     legit = splits.legitimate(_fold(spark, d, "train"))
-    forest = novelty.fit_isolation_forest(legit, trees=100, sample=1024)
+    forest = novelty.fit_isolation_forest(legit)
     val = _fold(spark, d, "val").withColumns(
         {"forest": forest.deviation(spark), "gaussian": novelty.gaussian_deviation(novelty.fit_gaussian(legit))}
     )

@@ -97,6 +97,36 @@ def test_pattern_values_are_shapley_values():
             assert table[pattern, i] == pytest.approx(sum(gains) / 6)
 
 
+def test_a_deep_path_is_attributed_without_its_2_to_the_d_patterns():
+    d = 26
+    rng = np.random.default_rng(1)
+    leaf = A.Leaf(tuple(range(d)), (0.0,) * d, (1.0,) * d, tuple(rng.uniform(0.2, 1.0, d)), 2.0)
+    asked = np.array([0, 5, (1 << d) - 1])
+    got = A._pattern_values(leaf, asked).sum(axis=1)
+    nothing = 2.0 * math.prod(leaf.share)
+    assert got == pytest.approx([-nothing, -nothing, 2.0 - nothing], rel=1e-9)
+
+
+def test_registered_queries_fit_models_of_the_default_size(spark, monkeypatch):
+    from checks import inputs, queries
+
+    seen = {}
+    monkeypatch.setattr(inputs, "events_log", lambda *_: None)
+    monkeypatch.setattr(inputs, "fitted_features", lambda *_: spark.createDataFrame([], "fold string, is_fraud int"))
+    monkeypatch.setattr(inputs.scoring, "train", lambda *a, **k: seen.update(train=(len(a), k)))
+    monkeypatch.setattr(M, "fit_boosting", lambda *a, **k: seen.update(boosting=(len(a), k)))
+    monkeypatch.setattr(M, "fit_forest", lambda *a, **k: seen.update(forest=(len(a), k)) or 1 / 0)
+    monkeypatch.setattr(N, "fit_isolation_forest", lambda *a, **k: seen.update(isolation=(len(a), k)) or 1 / 0)
+    inputs.trained(spark, "sizes")
+    inputs.boosted(spark, "sizes")
+    for name in ("rf_scores", "isolation_novelty"):
+        with pytest.raises(ZeroDivisionError):
+            queries.QUERIES[name](spark, "sizes")
+    assert seen == {"train": (1, {}), "boosting": (2, {}), "forest": (1, {}), "isolation": (1, {})}
+    size = M.TreeParams()
+    assert (size.forest_trees, size.forest_depth, size.boost_rounds) == (300, 18, 600)
+
+
 def test_permutation_influence_of_an_unused_feature_is_zero(spark, table, fitted):
     model = M.fit_logistic(table.withColumn("flat", F.lit(1.0)), ["a", "flat"])
     got = {r.feature: r.influence for r in A.permutation_influence(model, table.withColumn("flat", F.lit(1.0)), ["a", "flat"]).collect()}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from txnrisk.operators.metrics import brier, ranking_metrics
 from txnrisk.operators.splits import half_split
 from txnrisk.settings import DEFAULTS, MODEL_FEATURES
+from txnrisk.sources.scratch import scratch_root
 
 LABEL, WEIGHT = "is_fraud", "_weight"
 
@@ -57,7 +58,7 @@ def positive_probability(column: str = "probability") -> Column:
     return vector_to_array(column)[1]
 
 
-def fit_logistic(train: DataFrame, features: list[str] = MODEL_FEATURES, c: float = 0.5, max_iter: int = 200) -> PipelineModel:
+def fit_logistic(train: DataFrame, features: list[str] = MODEL_FEATURES, c: float = 0.5, max_iter: int = 2000) -> PipelineModel:
     """Balanced logistic regression on standardised inputs. ``c`` is the inverse
     penalty against the summed loss, hence 1 / (c x weight) against the mean loss."""
     w = class_weights(train).first()
@@ -88,6 +89,9 @@ def fit_boosting(
     w = class_weights(train).first()
     both = train.withColumn("_held", F.lit(False)).unionByName(val.withColumn("_held", F.lit(True)))
     rows = _weighted(assembled(both, features), w.sqrt_weight, 1.0)
+    context = train.sparkSession.sparkContext
+    if not context.getCheckpointDir():  # cuts the lineage of hundreds of rounds
+        context.setCheckpointDir(scratch_root(train.sparkSession))
     fit = GBTClassifier(
         featuresCol="features", labelCol=LABEL, weightCol=WEIGHT, validationIndicatorCol="_held",
         maxIter=size.boost_rounds, maxDepth=size.boost_depth, stepSize=size.boost_step,
