@@ -259,6 +259,23 @@ def test_pipeline_stages(docs, empty, spark, tmp_path):
         assert rows.count() == before.count()
 
 
+def test_mixing_keeps_to_the_unrounded_weights(spark):
+    """Square roots of the sizes, to within a block at every slot until a source runs out; a tiny source is a stream."""
+    sizes = {"a": 700, "b": 310, "c": 90, "d": 1}
+    rows = [doc(i, f"text {i}", "en", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    placed = mixing.scheduled(spark.createDataFrame(rows, DOCS), block_docs=1).toPandas()
+    assert placed.groupby("stream").size().to_dict() == sizes and placed["slot"].nunique() == len(placed)
+    total = sum(n**0.5 for n in sizes.values())
+    last = placed.groupby("stream")["slot"].max()
+    streams = {s: sorted(placed.loc[placed["stream"] == s, "slot"]) for s in sizes}
+    for s, slots in streams.items():
+        w = sizes[s] ** 0.5 / total
+        for slot in range(int(last[s])):
+            assert abs(np.searchsorted(slots, slot, side="right") - w * (slot + 1)) < 1
+        order = placed[placed["stream"] == s].sort_values("slot")
+        assert list(order["block"]) == list(range(sizes[s]))
+
+
 def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
     rows = [doc(i, f"one two three number {i} and {i * i} then {i % 11}", "en", f"s{i % 3}") for i in range(500)]
     mixed = mixing.mixed(spark.createDataFrame(rows, DOCS), {"s0": 2.0, "s1": 1.0, "s2": 1.0}, block_docs=8, period=16)

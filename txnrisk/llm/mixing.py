@@ -5,22 +5,27 @@ with weight w has the release time floor((i - 1) / w) and the deadline ceil(i /
 of one block. Earliest deadline first among the released blocks meets every deadline, so at any time
 a source has had its share of the slots to within one block, until it runs out.
 
-Weights are rounded to q / ``period`` with sum 1. The schedule then repeats after ``period`` slots: the earliest-deadline
-loop runs over one period only, of constant length, and the slot of every block follows by
-arithmetic: slot = period * ((i - 1) // q) + pattern[(i - 1) % q]. A source that has run out leaves its slots
-empty; the others keep their relation to each other. Every document comes exactly once.
-
-Target weights are given by source, or by default the square root of the source's size. Sources not
-named, or with less than 1 / ``period`` of the rows, and null sources form one stream together, so streams
-are at most ``period`` by construction. Repeated rows are all kept; a null doc_id is ordered like an id.
+Weights are whole multiples of 2^-48 with sum 1, about the precision of the numbers they come from: against the
+target weights a source drifts by less than a millionth of a block in 10^8 slots. A caller that gives ``period`` asks for
+multiples of 1 / ``period`` instead.
+One task walks over the blocks (one row per ``block_docs`` documents) and holds one entry per stream; it reads
+one row per stream. A source that has run out leaves its slots empty; the others keep their windows.
+Every document comes exactly once.
+
+Target weights are given by source, or by default the square root of the source's size. By default every source is
+a stream of its own; with given weights the sources not named form one stream together, and null sources always do.
+Repeated rows are all kept; a null doc_id is ordered like an id.
 An empty table gives an empty one; existing columns keep their names, whatever these are.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +34,10 @@ from txnrisk.sources.scratch import materialise
 
 #: The stream of all sources that have none of their own.
 REST = "\x00rest"
+#: Weights are whole multiples of 1 / WHOLE: numbers as 0.1 and 0.9 add up to exactly 1.
+WHOLE = 1 << 48
+#: Blocks that the walk hands on at a time.
+BATCH = 1 << 14
 
 
 def rounded_weights(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -52,8 +61,6 @@ def rounded_weights(weights: dict[str, float], period: int) -> dict[str, int]:
 
 def pattern(slots: dict[str, int]) -> list[tuple[str, int, int]]:
     """(stream, block of the period, slot) of one period, earliest deadline first."""
-    import heapq
-
     period = sum(slots.values())
     weight = {s: Fraction(q, period) for s, q in slots.items()}
     waiting = [(0, s, 1) for s in sorted(slots)]  # release time, stream, block
@@ -72,22 +79,70 @@ def pattern(slots: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
-def streams(docs: DataFrame, weights: dict[str, float] | None, period: int) -> dict[str, float]:
-    """Target weight of every stream."""
-    counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit(REST)).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+def streams(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """(stream, n, weight) of every stream that has rows: its rows and target weight, weights in any unit."""
+    source = F.col("source").cast("string")
+    if weights is not None:
+        weights = {s: w for s, w in weights.items() if w > 0 and s != REST}
+        source = F.when(source.isin(list(weights)), source)
+    counts = docs.groupBy(F.coalesce(source, F.lit(REST)).alias("stream")).agg(F.count(F.lit(1)).alias("n"))
     counts = materialise(counts, "sources")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return {}
     if weights is None:
-        large = counts.filter((F.col("s") != REST) & (F.col("n") * (period - 1) >= total)).collect()  # fewer than period rows
-        weights = {r["s"]: math.sqrt(r["n"]) for r in large}
-        rest = total - sum(r["n"] for r in large)
-        return weights | ({REST: math.sqrt(rest)} if rest else {})
-    weights = {s: w for s, w in weights.items() if w > 0}
-    listed = counts.filter(F.col("s").isin(list(weights))).agg(F.sum("n")).first()[0] or 0
+        return counts.withColumn("weight", F.sqrt("n"))
+    total, listed = counts.agg(F.sum("n"), F.sum(F.when(F.col("stream") != REST, F.col("n")))).first()
+    total, listed = total or 0, listed or 0
     share = sum(weights.values()) if weights else 1.0
-    return weights | ({REST: share * (total - listed) / max(1, listed)} if total > listed else {})
+    given = [(s, float(w)) for s, w in weights.items()]
+    if total > listed:
+        given.append((REST, float(share * (total - listed) / max(1, listed))))
+    # a named source without rows keeps its share of the slots
+    named = docs.sparkSession.createDataFrame(given, "stream string, weight double")
+    return named.join(counts, "stream", "left").select("stream", F.coalesce("n", F.lit(0)).alias("n"), "weight")
+
+
+def walk(table: list[tuple[str, int, float]], whole: int = WHOLE) -> Iterator[tuple[str, int, int]]:
+    """(stream, block, slot) of all blocks, given (stream, blocks, weight): earliest deadline first.
+
+    Slots of streams that have run out stay empty; where nothing is released the walk goes on to the next release.
+    """
+    unit = rounded_weights({s: w for s, _, w in table}, whole)
+    blocks = {s: n for s, n, _ in table}
+    waiting = [(0, s, 1) for s in sorted(blocks) if blocks[s]]  # release time, stream, block
+    ready: list[tuple[int, str, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-i * whole // unit[s]), s, i))
+        deadline, s, i = heapq.heappop(ready)
+        if deadline <= slot:
+            raise AssertionError("a deadline was missed")
+        yield s, i - 1, slot
+        if i < blocks[s]:
+            heapq.heappush(waiting, (i * whole // unit[s], s, i + 1))
+        slot += 1
+
+
+def placed(sizes: DataFrame, block_docs: int, whole: int = WHOLE) -> DataFrame:
+    """(stream, block, slot) of all blocks of the streams (stream, n, weight)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [(r["stream"], -(-r["n"] // block_docs), r["weight"]) for b in batches for r in b.to_pylist()]
+        if not table:
+            return
+        held: list[tuple[str, int, int]] = []
+        names = ["stream", "block", "slot"]
+        for row in walk(table, whole):
+            held.append(row)
+            if len(held) == BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names=names)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], names=names)
+
+    return sizes.coalesce(1).mapInArrow(run, "stream string, block bigint, slot bigint")
 
 
 def _key():
@@ -95,17 +150,14 @@ def _key():
     return F.xxhash64("doc_id", "text")
 
 
-def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 16, period: int = 1024) -> DataFrame:
+def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 16, period: int | None = None) -> DataFrame:
     """(doc_id, key, stream, block, slot): the slot of every row of ``docs``; key is a hash of doc_id and text."""
-    target = streams(docs, weights, period)
-    slots = rounded_weights(target, period)
-    spark = docs.sparkSession
-    table = [(s, slots[s], i, at) for s, i, at in pattern(slots)]
-    plan = F.broadcast(spark.createDataFrame(table, "stream string, q int, turn int, at int"))  # one row per slot of a period
-    sizes = F.broadcast(spark.createDataFrame(list(slots.items()), "stream string, q int"))
+    sizes = streams(docs, weights)
+    plan = materialise(placed(sizes, block_docs, period or WHOLE), "plan")
     source = F.col("source").cast("string")
-    own = source.isin([s for s in slots if s != REST])
-    rows = docs.select("doc_id", _key().alias("key"), F.when(own, source).otherwise(F.lit(REST)).alias("stream"))
+    if weights is not None:
+        source = F.when(source.isin([s for s, w in weights.items() if w > 0 and s != REST]), source)
+    rows = docs.select("doc_id", _key().alias("key"), F.coalesce(source, F.lit(REST)).alias("stream"))
     keys = ["stream", "key", "doc_id"]
     seq = F.monotonically_increasing_id()
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -115,12 +167,10 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_do
     before = F.coalesce(F.sum("_n").over(W.partitionBy("stream").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("stream", "_part", (before - F.col("_first")).alias("_shift"))
     numbered = ordered.join(parts, ["stream", "_part"]).withColumn("block", F.floor((F.col("_at") + F.col("_shift")) / block_docs))
-    turned = numbered.join(sizes, "stream").withColumn("turn", (F.col("block") % F.col("q")).cast("int"))
-    slot = F.floor(F.col("block") / F.col("q")) * F.lit(sum(slots.values())) + F.col("at")
-    return turned.join(plan.drop("q"), ["stream", "turn"]).select("doc_id", "key", "stream", "block", slot.cast("bigint").alias("slot"))
+    return numbered.join(plan, ["stream", "block"]).select("doc_id", "key", "stream", "block", "slot")
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 16, period: int = 1024) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 16, period: int | None = None) -> DataFrame:
     """``docs`` in the order of the schedule: partitions follow each other, rows inside them are sorted.
     Rows that repeat doc_id and text stand together, in the first of their slots."""
     places = scheduled(docs, weights, block_docs, period).groupBy("key").agg(F.min("slot").alias("_slot"))
