@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,22 @@ def test_large_tables_give_each_row_to_one_tree(spark):
     assert len(sizes) == 10 and sizes.max() == 64 and sizes.min() >= 48
 
 
+def test_a_tree_draws_from_all_rows_of_a_large_table_too(spark):
+    """The sample of a tree follows from (id, tree) alone, so more trees leave the first ones as they are."""
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("transaction_id"), F.rand(3).alias("a"))
+    few, many = (N.fit_isolation_forest(df, features=["a"], trees=k, sample=64).nodes for k in (3, 10))
+    keys = ["tree", "node"]
+    many = many[many["tree"] < 3]
+    assert few.sort_values(keys).reset_index(drop=True).equals(many.sort_values(keys).reset_index(drop=True))
+
+
+def test_a_short_tree_is_normed_by_its_own_sample(spark):
+    nodes = [(0, 0, -1, 0.0, -1, -1, 64, 0), (1, 0, -1, 0.0, -1, -1, 20, 0)]  # trees without a split
+    forest = N.IsolationForest(["a"], pd.DataFrame(nodes, columns=[c.split()[0] for c in N.NODE_SCHEMA.split(", ")]), 64)
+    got = spark.createDataFrame([(1.0,)], "a double").select(forest.deviation(spark)).first()[0]
+    assert got == pytest.approx(0.0)
+
+
 def test_gaussian_deviation_ignores_constant_features(spark):
     df = spark.createDataFrame([(0.0, 1.0), (2.0, 1.0)], "a double, b double")
     fit = N.fit_gaussian(df, ["a", "b"])

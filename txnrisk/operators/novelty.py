@@ -138,7 +138,8 @@ class IsolationForest:
         return spark.createDataFrame(self.nodes, NODE_SCHEMA)
 
     def deviation(self, spark) -> Column:
-        """Anomaly axis, higher = more unusual: 2^(-mean depth / expected) - 0.5."""
+        """Anomaly axis, higher = more unusual: 2^(-mean of depth / expected) - 0.5, the
+        expected depth by the sample of each tree."""
         nodes = self.nodes.sort_values(["tree", "node"])
         starts = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
         offset = nodes["tree"].map(starts).to_numpy()
@@ -153,7 +154,8 @@ class IsolationForest:
                 "high": np.where(leaf, own, nodes["high"].to_numpy() + offset),
                 "path": nodes["depth"].to_numpy() + _expected_depth(nodes["size"].to_numpy()),
                 "levels": int(nodes["depth"].max()),
-                "norm": float(_expected_depth(self.sample)),
+                # a root's size is what its tree was grown from
+                "norm": _expected_depth(nodes.loc[nodes["node"] == 0, "size"].to_numpy()),
             }
         )
 
@@ -166,7 +168,9 @@ class IsolationForest:
             for _ in range(t["levels"]):
                 goes_low = points[rows, t["feature"][at]] <= t["threshold"][at]
                 at = np.where(goes_low, t["low"][at], t["high"][at])
-            return pd.Series(2.0 ** (-t["path"][at].mean(axis=1) / t["norm"]) - 0.5)
+            path = t["path"][at]
+            share = np.divide(path, t["norm"], out=np.ones_like(path), where=t["norm"] > 0)
+            return pd.Series(2.0 ** -share.mean(axis=1) - 0.5)
 
         return score(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features]))
 
@@ -175,11 +179,8 @@ def fit_isolation_forest(
     df: DataFrame, id_col: str = "transaction_id", features: list[str] = NOVELTY_FEATURES,
     trees: int = 200, sample: int = 4096, seed: int = DEFAULTS.seed,
 ) -> IsolationForest:
-    """Every tree is grown in its own task from a seeded sample of ``sample`` rows.
-
-    In a table larger than all samples together a row is drawn for one tree at
-    most; in a smaller one each tree draws from all rows.
-    """
+    """Every tree is grown in its own task from a seeded sample of ``sample`` rows,
+    drawn for each tree from all rows: by one rule at every size."""
     n = df.count()
     if not n:
         raise ValueError("no rows to fit on")
@@ -190,14 +191,9 @@ def fit_isolation_forest(
     def unit(*parts: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), *parts), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
-    if n > 2 * trees * size:
-        drawn = df.filter(unit(F.lit("row")) < min(1.0, rate * trees)).select(
-            F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.lit("tree")), F.lit(trees)).cast("int").alias("tree"),
-            unit(F.lit("place")).alias("place"), columns,
-        )
-    else:
-        every = df.select(id_col, columns, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        drawn = every.select("tree", unit(F.col("tree")).alias("place"), "x").filter(F.col("place") < rate)
+    # only the trees that drew a row get its features
+    places = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), unit(t).alias("place")))
+    drawn = df.select(F.explode(F.filter(places, lambda p: p["place"] < rate)).alias("_p"), columns).select("_p.*", "x")
     limit = max(1, math.ceil(math.log2(max(size, 2))))
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
