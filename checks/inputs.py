@@ -165,12 +165,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stream_of(spark: SparkSession, rows: DataFrame, files: int, per_batch: int) -> DataFrame:
-    """Write rows as files in time order and read them back as a stream."""
+def stream_of(spark: SparkSession, rows: DataFrame, batches: int = 4) -> DataFrame:
+    """Write rows as files that each hold a range of time, and read them back in this order as a
+    stream of about ``batches`` micro-batches."""
     folder = new_folder(spark, "stream")
+    files = max(batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.repartitionByRange(files, "ts_sec", "transaction_id").write.parquet(folder)
+    # a stream takes files by their time of change; the writing tasks end in any order
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted(p for f in fs.listStatus(path) if (p := f.getPath().getName()).startswith("part-"))
+    first = fs.getFileStatus(path).getModificationTime() - 1000 * len(parts)
+    for i, name in enumerate(parts):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(folder, name), first + 1000 * i, -1)
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-    return streams.read_stream(spark, folder, schema, files_per_batch=per_batch)
+    return streams.read_stream(spark, folder, schema, files_per_batch=max(1, -(-len(parts) // batches)))
 
 
 def run_stream(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:

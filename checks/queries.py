@@ -949,7 +949,7 @@ def stream_features(spark, d):
     rows = p.log.rows
     history = _canonical(rows.filter(F.col("fold") != "test"))
     test = _canonical(rows.filter(F.col("fold") == "test"))
-    out = I.run_stream(spark, streams.stream_features(I.stream_of(spark, test, 1, 1), p.priors, history))
+    out = I.run_stream(spark, streams.stream_features(I.stream_of(spark, test), p.priors, history))
     return rounded(out, 4)
 
 
@@ -959,7 +959,7 @@ def stream_decisions(spark, d):
     t = I.trained(spark, d)
     rows = t.log.rows
     history = _canonical(rows.filter(F.col("fold") != "test"))
-    source = I.stream_of(spark, _canonical(rows.filter(F.col("fold") == "test")), 1, 1)
+    source = I.stream_of(spark, _canonical(rows.filter(F.col("fold") == "test")))
     out = I.run_stream(spark, streams.stream_decisions(source, t.bundle, history))
     return out.select("transaction_id", "fraud_probability", "novelty_score", "risk_band")
 
@@ -968,7 +968,7 @@ def stream_decisions(spark, d):
 def stream_budget(spark, d):
     """The alert budget over micro-batches of decided rows."""
     keep = ["transaction_id", "ts_sec", "risk_band", "rank_score"]
-    source = I.stream_of(spark, I.decided(spark, d).select(*keep), 1, 1)
+    source = I.stream_of(spark, I.decided(spark, d).select(*keep))
     path = I.new_folder(spark, "budget")
     job = source.writeStream.foreachBatch(StreamingBudget(path)).option(
         "checkpointLocation", I.new_folder(spark, "checkpoint")
@@ -980,5 +980,5 @@ def stream_budget(spark, d):
 @query
 def stream_daily_alerts(spark, d):
     """Alerts per day from a stream; the last day stays open until the watermark passes it."""
-    source = I.stream_of(spark, I.decided(spark, d).select("ts_sec", "transaction_id", "budget_status"), 1, 1)
+    source = I.stream_of(spark, I.decided(spark, d).select("ts_sec", "transaction_id", "budget_status"))
     return I.run_stream(spark, streams.daily_alert_stream(source, "0 seconds"))

@@ -64,6 +64,16 @@ def test_budget_equals_literal_walk(spark, name, b, spread):
     assert "alert" in want.values()
 
 
+def test_limited_days_are_folded_day_by_day(spark, monkeypatch):
+    """Rolling limits that reach across every midnight need no pass over all days in one task."""
+    rows = make(900, 11, 6 * DAY)
+    b = AlertBudget(90.0, 60.0, 6, 25)
+    table = ordered_table(spark.createDataFrame(rows, SCHEMA), "ts_sec", "transaction_id", blocks=4)
+    monkeypatch.setattr(type(table), "coalesce", lambda *_: pytest.fail("all days in one task"))
+    got = {r.transaction_id: r.budget_status for r in B.apply_budget(table, b).collect()}
+    assert got == walk(rows, b)
+
+
 def test_only_a_bounded_part_of_a_second_is_folded(spark):
     rows = [(f"T{i:05d}", 19_700 * DAY, "review", 0.5) for i in range(3000)]
     b = AlertBudget(50.0, 50.0, 5, 8)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SCHEMA, in_order, make_rows
 from txnrisk.operators import features, priors
@@ -107,3 +108,20 @@ def test_daily_alert_counts(spark, tmp_path):
     out = str(tmp_path / "out")
     S.start(S.daily_alert_stream(stream, "0 seconds"), out, str(tmp_path / "cp"), available_only=True).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(out).select("day", "alerts").collect()) == [(10, 2), (11, 1)]
+
+
+def test_a_check_stream_has_several_micro_batches_in_time_order(spark, tmp_path):
+    from checks import inputs
+
+    rows = spark.range(400).select(
+        F.concat(F.lit("T"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("transaction_id"), (F.col("id") * 7).alias("ts_sec")
+    )
+    spans = []
+
+    def note(part, batch):
+        spans.append(part.agg(F.min("ts_sec"), F.max("ts_sec"), F.count("*")).first())
+
+    job = inputs.stream_of(spark, rows).writeStream.foreachBatch(note).option("checkpointLocation", f"{tmp_path}/c")
+    job.trigger(availableNow=True).start().awaitTermination()
+    assert len(spans) > 1 and sum(s[2] for s in spans) == 400
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
