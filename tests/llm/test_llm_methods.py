@@ -250,6 +250,35 @@ def test_main_text(html, text):
     assert extract.main_text(html) == text
 
 
+def _paragraphs(length, count):
+    return [" ".join(["word"] * (length // 5))] * count
+
+
+def _html(paragraphs):
+    return "".join(f"<p>{p}</p>" for p in paragraphs)
+
+
+LONG_PART, SMALL_PART = _paragraphs(300, 20), _paragraphs(500, 2)
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (f"<div class=post><div>{_html(LONG_PART)}</div><div>{_html(SMALL_PART)}</div></div>", LONG_PART + SMALL_PART),
+        (
+            f"<div class=post><h2>A heading</h2><p>An introduction.</p><div>{_html(LONG_PART)}</div></div><div><a href=x>a link</a></div>",
+            ["A heading", "An introduction.", *LONG_PART],
+        ),
+        (f"<div title='read class=\"ad\" here'>{_html(LONG_PART)}</div><div>{_html(SMALL_PART)}</div>", LONG_PART + SMALL_PART),
+        (f"<div title='see id=sidebar and hidden text'>{_html(LONG_PART)}</div>", LONG_PART),
+        (f"<div data-x=1 class=sidebar>{_html(SMALL_PART)}</div><div>{_html(LONG_PART)}</div>", LONG_PART),
+        (f"<div>{_html(LONG_PART)}</div><div hidden>{_html(SMALL_PART)}</div>", LONG_PART),
+    ],
+)
+def test_main_text_without_article(html, want):
+    assert extract.main_text(f"<body>{html}</body>") == "\n\n".join(want)
+
+
 def test_hostile_html_ends():
     for html in ("<p>" * 30_000, "<div>" * 30_000 + "x", "<a '" * 20_000, "</p>" * 50_000, "<" * 50_000, "<!--" * 20_000):
         assert isinstance(extract.main_text(html), str)

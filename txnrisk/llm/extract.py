@@ -9,8 +9,8 @@ Every other node gets the density
 its characters per tag adjusted by the share of links (C characters, T tags, LC and LT those in links, Cb and LCb
 of the body), and the sum of its children's densities. The node with the largest sum is the main text; the least density on
 the path from it to the body is the threshold. From the body down, a node at or above the threshold gives
-the largest-sum node below it as well, if that has at least ``SHARE`` of the largest sum. A chosen node
-inside ``article`` or ``main`` gives way to this element.
+the largest-sum node below it as well. Headings before the best node or its ancestors and text blocks beside it belong
+to the text. A chosen node inside ``article`` or ``main`` gives way to this element.
 
 Blocks of text come in page order; character references are decoded, white space inside a block becomes
 one space, blocks are joined by two line feeds. Unclosed and stray tags are mended, cut tags at
@@ -52,13 +52,17 @@ MARKS = frozenset(
     "footer comment comments respond discussion disqus replies share sharing social related recommended newsletter "
     "subscribe subscription signup login search searchbox form toolbar pagination pager widget copyright complementary contentinfo".split()
 )
-#: Share of the largest density sum that a further part of the main text has at least.
-SHARE = 0.2
+
+#: Blocks that go with the main text if they stand beside it.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+TEXTS = frozenset("p blockquote pre ul ol dl figure table".split())
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.DOTALL
 )
-_NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+# attributes one after the other, so that nothing inside a quoted value is taken for a name
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
@@ -78,11 +82,14 @@ def _marked(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for name, *values in _NAMED.findall(attributes):
-        if name.lower() == "hidden":
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name not in _READ:
+            continue
+        if name == "hidden":
             return True
         value = "".join(values)
-        if name.lower() == "aria-hidden":
+        if name == "aria-hidden":
             if value.lower() == "true":
                 return True
             continue
@@ -205,6 +212,21 @@ def _measure(nodes: list[Node]) -> None:
         node.parent.total += node.density
 
 
+def _beside(best: Node, body: Node) -> list[Node]:
+    """Headings before the best node or before its ancestors, and text blocks next to it; not lists of links."""
+    out, node = [], best
+    while node is not body:
+        before = True
+        for item in node.parent.items:
+            if item is node:
+                before = False
+            elif isinstance(item, Node) and not item.marked and item.link_chars * 2 < item.chars:
+                if before and item.tag in HEADINGS or node is best and item.tag in TEXTS:
+                    out.append(item)
+        node = node.parent
+    return out
+
+
 def choose(nodes: list[Node]) -> list[Node]:
     """The nodes that hold the main text, none inside another, in page order."""
     body = nodes[0]
@@ -226,9 +248,9 @@ def choose(nodes: list[Node]) -> list[Node]:
     while stack:
         node = stack.pop()
         if node.density >= threshold and node.chars:
-            if below[node].total >= SHARE * best.total > 0:
-                chosen.add(below[node])
+            chosen.add(below[node])
             stack.extend(c for c in node.items if isinstance(c, Node) and not c.marked)
+    chosen.update(_beside(best, body))
     widened = set()
     for node in chosen:
         up, whole = node, node
