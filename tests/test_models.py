@@ -64,6 +64,22 @@ def test_calibrators_are_monotone_and_the_better_one_is_kept(table, fitted):
         assert all(y2 >= y1 - 1e-12 for (_, y1), (_, y2) in itertools.pairwise(points))
 
 
+def test_scores_that_differ_behind_the_sixth_decimal_are_not_tied(spark):
+    from txnrisk.operators import metrics
+
+    rows = [(0.1 + i * 1e-9, int(i >= 6)) for i in range(10)]
+    df = spark.createDataFrame(rows, "raw_probability double, is_fraud int")
+    m = metrics.exact_ranking_metrics(df, "raw_probability").first()
+    assert (m.pr_auc, m.roc_auc) == (pytest.approx(1.0), pytest.approx(1.0))
+    got = {r.raw_probability: r.p for r in M.fit_isotonic(df).transform(df).collect()}
+    assert [got[p] for p, _ in rows] == [float(y) for _, y in rows]
+    one_class = metrics.exact_ranking_metrics(df.filter("is_fraud = 0"), "raw_probability").first()
+    assert tuple(one_class) == (None, None)
+    rng = random.Random(2)
+    rough = spark.createDataFrame([(round(rng.random(), 1), rng.randrange(2)) for _ in range(200)], "s double, is_fraud int")
+    assert tuple(metrics.exact_ranking_metrics(rough, "s").first()) == pytest.approx(tuple(metrics.ranking_metrics(rough, "s").first()))
+
+
 def test_isotonic_clips_outside_the_fitted_range(spark):
     df = spark.createDataFrame([(0.2, 0), (0.4, 0), (0.6, 1), (0.8, 1)], "raw_probability double, is_fraud int")
     ask = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "raw_probability double")

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnrisk.functions import columns as C
-from txnrisk.operators.ordering import SEQ, blockwise
+from txnrisk.operators.ordering import SEQ, blockwise, value_counts_running
 from txnrisk.operators.splits import first_time_flags
 from txnrisk.settings import DEFAULTS
 
@@ -73,6 +73,21 @@ def ranking_metrics(
     )
 
 
+def exact_ranking_metrics(df: DataFrame, score: str, label: str = "is_fraud") -> DataFrame:
+    """``ranking_metrics`` of all rows on the scores as they are: the counts per distinct score stay spread over blocks."""
+    rows = df.select(F.col(score).cast("double").alias("score"), F.col(label).cast("bigint").alias("_y"))
+    pts = value_counts_running(rows, "score", {"n": F.lit(1).cast("bigint"), "pos": F.col("_y")})
+    size, positives = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
+    both = F.lit(0 < positives < size)
+    precision = (F.lit(positives) - F.col("before_pos")) / (F.lit(size) - F.col("before_n"))
+    below = F.col("before_n") - F.col("before_pos") + (F.col("n") - F.col("pos")) / 2.0
+    pairs = float(positives) * float(size - positives)
+    return pts.agg(
+        F.when(both, F.sum(F.col("pos") * precision) / F.lit(max(1, positives))).alias("pr_auc"),
+        F.when(both, F.sum(F.col("pos") * below) / F.lit(max(1.0, pairs))).alias("roc_auc"),
+    )
+
+
 def confusion(df: DataFrame, alert: Column, label: str = "is_fraud") -> DataFrame:
     y = F.col(label) == 1
     counts = df.agg(

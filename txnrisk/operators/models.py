@@ -12,7 +12,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators.metrics import brier, ranking_metrics
+from txnrisk.operators.metrics import brier, exact_ranking_metrics
 from txnrisk.operators.splits import half_split
 from txnrisk.settings import DEFAULTS, MODEL_FEATURES
 from txnrisk.sources.scratch import scratch_root
@@ -116,7 +116,7 @@ def compare_models(models: dict[str, PipelineModel], val: DataFrame) -> Comparis
     """Validation PR-AUC and ROC-AUC of fitted models; the best has the highest PR-AUC."""
     rows = []
     for name, model in models.items():
-        m = ranking_metrics(with_raw_probability(model, val), "raw_probability", digits=6).first()
+        m = exact_ranking_metrics(with_raw_probability(model, val), "raw_probability").first()
         rows.append((name, m.pr_auc, m.roc_auc))
     table = val.sparkSession.createDataFrame(rows, "model string, pr_auc_val double, roc_auc_val double")
     best = max(rows, key=lambda r: -1.0 if r[1] is None else r[1])[0]
@@ -138,9 +138,9 @@ class Calibrator:
 
 
 def _score_groups(df: DataFrame, raw: str) -> DataFrame:
-    """Label mean per raw score at 6 decimals: a table that stays small, because the
-    isotonic fit ends on the driver."""
-    grouped = df.groupBy(F.round(raw, 6).alias(raw)).agg(
+    """Label mean per distinct raw score. The isotonic fit pools these in every range
+    partition first, so only pooled blocks reach the driver."""
+    grouped = df.groupBy(raw).agg(
         F.avg(LABEL).alias("_mean"), F.count(F.lit(1)).cast("double").alias(WEIGHT)
     )
     return assembled(grouped, [raw], "_raw_vector")
