@@ -20,6 +20,7 @@ from txnrisk.llm import (
     simhash,
     tokens,
     topk,
+    toxicity,
     warc,
 )
 from txnrisk.llm.common import remainder
@@ -234,6 +235,12 @@ LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN texts t
 """
 
 
+@query
+def op12_toxicity(spark, sf_dir):
+    scored = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query
 def op13_phrases(spark, sf_dir):
     return phrases.collocations(_table(spark, sf_dir, "documents"))
