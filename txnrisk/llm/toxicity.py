@@ -221,12 +221,13 @@ def stems_of(text: str) -> set[str]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, where: Column, sample: int) -> DataFrame:
-    """(text, toxic): the different texts of at most ``sample`` rows of each label with ``where``."""
+    """(text, toxic): the different texts of at most ``sample`` rows of each label with ``where``. The chosen ids, at most
+    twice ``sample``, are broadcast."""
     rated = labels.filter(where & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     rated = rated.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = rated.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(rated.filter("toxic = 0").orderBy(*order).limit(sample))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8("text").alias("text")).join(chosen, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8("text").alias("text")).join(F.broadcast(chosen), "doc_id")
     return rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("digest")
 
 
@@ -238,7 +239,7 @@ def stem_counts(rows: DataFrame) -> DataFrame:
 
         def emitted() -> pa.RecordBatch:
             names = list(held[0].keys() | held[1].keys())
-            columns = [pa.array(names), *[pa.array([held[i][s] for s in names], pa.int64()) for i in (1, 0)]]
+            columns = [pa.array(names, pa.string()), *[pa.array([held[i][s] for s in names], pa.int64()) for i in (1, 0)]]
             for counts in held:
                 counts.clear()
             return pa.RecordBatch.from_arrays(columns, names=["stem", "toxic", "others"])
