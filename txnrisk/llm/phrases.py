@@ -11,9 +11,10 @@ and in suffix order (by words from the last). In prefix order the first words of
 when it comes and its extensions by a word follow it; in suffix order the same holds for its last
 words. The two streams are merge-joined on the phrase: left, right and extension counts, without a hash table.
 
-A word below ``least`` occurrences can't be part of a phrase, so windows end before it. It is known by a bit
-set of ``bits`` bits over word hashes (a fixed size whatever the vocabulary); words that share a bit with
-a frequent word only make windows longer than needed, never a result different.
+A phrase can't be frequent unless every two words in it are, so windows end where a pair is rare. Pairs are first counted
+by a 64-bit hash, and the hashes of frequent ones set bits in a bit set of ``bits`` bits (a fixed size, whatever the
+corpus); pairs that share a hash or a bit with a frequent one only make windows longer than needed, never a result
+different.
 
 Null and empty texts have no words; a null lang counts as ``und``. Repeated rows count each. An empty
 table gives no rows. Other columns aren't read. Ties of the score go by count, then by the phrase's bytes.
@@ -23,11 +24,10 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,12 +39,9 @@ _PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 _SEED = 42
 _SEGMENT = 1 << 15
 
-#: Distinct keys that a task adds up before it hands them on.
+#: Distinct keys that a task adds up before it hands them on, and words that it works on at a time.
 HELD = 400_000
 
-#: Languages whose words a task remembers at a time.
-LANGS = 16
-
 
 def tokens(text: bytes) -> list[bytes]:
     """Words in order, with ``BREAK`` between pieces."""
@@ -64,42 +61,90 @@ def _batch(held: dict[str, Counter], key: str) -> pa.RecordBatch:
     )
 
 
-def _counted(rows: DataFrame, key: str, count: Callable[[Counter, str, bytes], None]) -> DataFrame:
-    """(lang, key, n) with the counts that ``count`` adds per text, in parts of a bounded size."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, word, n): occurrences of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = defaultdict(Counter)
         for batch, texts in slices(batches, "text", 1 << 20):
             for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                count(held[lang], lang, text)
+                held[lang].update(tokens(text))
+                held[lang].pop(BREAK, None)
             if sum(map(len, held.values())) > HELD:
-                yield _batch(held, key)
+                yield _batch(held, "word")
                 held.clear()
-        if held:
-            yield _batch(held, key)
+        yield _batch(held, "word")
         held.clear()
         release()
 
-    return rows.mapInArrow(run, f"lang string, {key} binary, n bigint")
+    return _texts(docs).mapInArrow(run, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n): occurrences of every word."""
+class _Hashes(dict):
+    """word -> 64-bit hash that the lang is part of; remembers a bounded number of words."""
 
-    def count(held: Counter, lang: str, text: bytes) -> None:
-        held.update(tokens(text))
-        held.pop(BREAK, None)
+    def __init__(self, lang: str):
+        super().__init__()
+        self._head = lang.encode() + b"\0"
 
-    return _counted(_texts(docs), "word", count).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
+        if len(self) > HELD:
+            self.clear()
+        value = self[word] = 0 if word == BREAK else xxh64_intdigest(self._head + word, _SEED) | 1
+        return value
+
+
+def _pairs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word with the next one, and whether there is one."""
+    a, b = hashes[:-1], hashes[1:]
+    mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F) + (a >> np.uint64(29)))
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32)), (a != 0) & (b != 0)
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """(lang, words with ``BREAK`` between pieces and texts, their hashes) in parts of a bounded size."""
+    hashes: dict[str, _Hashes] = {}
+    for batch, texts in slices(batches, "text", 4 << 20):
+        parts: dict[str, list[bytes]] = defaultdict(lambda: [BREAK])
+        for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+            parts[lang] += tokens(text)
+            parts[lang].append(BREAK)
+        for lang, words in parts.items():
+            if lang not in hashes:
+                hashes.clear()  # one lang's words at a time, if langs come in turn
+                hashes[lang] = _Hashes(lang)
+            yield lang, words, np.array(list(map(hashes[lang].__getitem__, words)), np.uint64)
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(h, n): occurrences of every pair of words, by its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def emitted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+        for _, _, hashes in _by_lang(batches):
+            pairs, there = _pairs(hashes)
+            held.append(pairs[there])
+            if sum(map(len, held)) > 10 * HELD:
+                yield emitted()
+        yield emitted()
+        release()
 
-def _bit(bits: int) -> Column:
-    return F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b"\0"), F.col("word"))).bitwiseAND(F.lit(bits - 1))
+    return _texts(docs).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def bit_set(words: DataFrame, bits: int) -> list[tuple[int, bytes]]:
-    """The set bits of ``words`` (lang, word) in segments; at most ``bits`` / 8 bytes in all."""
-    rows = words.select(_bit(bits).alias("bit")).select(
+def bit_set(pairs: DataFrame, bits: int) -> list[tuple[int, bytes]]:
+    """The bits that the hashes h set, in segments; at most ``bits`` / 8 bytes in all."""
+    bit = F.shiftrightunsigned("h", 64 - (bits.bit_length() - 1))
+    rows = pairs.select(bit.alias("bit")).select(
         F.floor(F.col("bit") / _SEGMENT).cast("int").alias("segment"), (F.col("bit") % _SEGMENT).cast("int").alias("at")
     )
     found = rows.groupBy("segment").agg(F.collect_set("at").alias("at")).toLocalIterator()
@@ -111,57 +156,35 @@ def bit_set(words: DataFrame, bits: int) -> list[tuple[int, bytes]]:
     return out
 
 
-class _Frequent(dict):
-    """word -> the word, or no bytes if its bit isn't set."""
-
-    def __init__(self, lang: str, flags: np.ndarray):
-        super().__init__()
-        self._head, self._flags, self._mask = lang.encode() + b"\0", flags, len(flags) * 8 - 1
-        self[BREAK] = b""
-
-    def __missing__(self, word: bytes) -> bytes:
-        from xxhash import xxh64_intdigest
-
-        bit = xxh64_intdigest(self._head + word, _SEED) & self._mask
-        kept = word if self._flags[bit >> 3] >> (bit & 7) & 1 else b""
-        if len(self) > HELD:
-            self.clear()
-            self[BREAK] = b""
-        self[word] = kept
-        return kept
-
-
 def windows(docs: DataFrame, segments: list[tuple[int, bytes]], bits: int, longest: int) -> DataFrame:
     """(lang, phrase, n): windows of two words or more, every word closed by a space."""
-    flags: list[np.ndarray] = []  # made in the task
-    by_lang: dict[str, _Frequent] = {}
-
-    def count(held: Counter, lang: str, text: bytes) -> None:
-        if not flags:
-            flags.append(np.zeros(bits // 8, np.uint8))
-            for segment, data in segments:
-                flags[0][segment * len(data) : (segment + 1) * len(data)] = np.frombuffer(data, np.uint8)
-        if lang not in by_lang:
-            if len(by_lang) >= LANGS:
-                by_lang.clear()
-            by_lang[lang] = _Frequent(lang, flags[0])
-        known = by_lang[lang]
-        run: list[bytes] = []
-        kept = list(map(known.__getitem__, tokens(text)))
-        kept.append(b"")
-        for word in kept:
-            if word:
-                run.append(word)
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(max(bits, _SEGMENT) // 8, np.uint8)
+        for segment, data in segments:
+            flags[segment * len(data) : (segment + 1) * len(data)] = np.frombuffer(data, np.uint8)
+        held: dict[str, Counter] = defaultdict(Counter)
+        for lang, words, hashes in _by_lang(batches):
+            pairs, there = _pairs(hashes)
+            bit = pairs >> shift
+            there &= (flags[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            starts = np.flatnonzero(there)
+            if not len(starts):
                 continue
-            if len(run) > 1:
-                joined = b" ".join(run) + b" "
-                ends = list(accumulate([len(w) + 1 for w in run]))
-                stops = ends[longest - 1 :]
-                stops += ends[-1:] * (len(ends) - len(stops))
-                held.update([joined[a:b] for a, b in zip([0, *ends[:-2]], stops, strict=False)])
-            run = []
+            ends = np.flatnonzero(np.concatenate([~there, [True]]))  # the last word of a run of frequent pairs
+            stops = np.minimum(starts + longest, ends[np.searchsorted(ends, starts)] + 1)
+            offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+            joined = b" ".join(words) + b" "
+            held[lang].update([joined[a:b] for a, b in zip(offsets[starts].tolist(), offsets[stops].tolist(), strict=True)])
+            if sum(map(len, held.values())) > HELD:
+                yield _batch(held, "phrase")
+                held.clear()
+        yield _batch(held, "phrase")
+        held.clear()
+        release()
 
-    return _counted(_texts(docs), "phrase", count)
+    return _texts(docs).mapInArrow(run, "lang string, phrase binary, n bigint")
 
 
 def _path_counts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -226,7 +249,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, bits: int
     """(lang, phrase, words, f) of phrases of one to ``longest`` words with ``f >= least``, and (lang, n)."""
     words = materialise(word_counts(docs), "words")
     frequent = words.filter(F.col("n") >= least)
-    found = materialise(windows(docs, bit_set(frequent, bits), bits, longest), "windows")
+    pairs = bit_set(pair_counts(docs).filter(F.col("n") >= least), bits)
+    found = materialise(windows(docs, pairs, bits, longest), "windows")
     ranged = found.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
     parts = ranged.mapInArrow(_path_counts(least), "lang string, phrase binary, words int, f bigint")
     many = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
