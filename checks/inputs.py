@@ -185,17 +185,36 @@ def stream_of(spark: SparkSession, rows: DataFrame, batches: int = 4) -> DataFra
 def run_stream(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all available files and read its result table."""
     out = new_folder(spark, "result")
-    # one state store per shuffle partition and step: no more of them than there are cores
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.shuffle.partitions", min(partitions, spark.sparkContext.defaultParallelism))
-    try:
-        query = streams.start(df, out, new_folder(spark, "checkpoint"), available_only=True, mode=mode)
-        query.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    streams.start(df, out, new_folder(spark, "checkpoint"), available_only=True, mode=mode).awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
+def written(spark: SparkSession, path: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{table}").drop("batch")
+
+
+def run_batches(spark: SparkSession, df: DataFrame, target, table: str) -> DataFrame:
+    """Run a stream over all available files into a target for micro-batches, and read a table that it wrote."""
+    streams.start_batches(df, target, new_folder(spark, "checkpoint"), available_only=True).awaitTermination()
+    return written(spark, target.path, table)
+
+
+def run_arrivals(spark: SparkSession, rows: DataFrame, job, target) -> None:
+    """Run ``job`` once for every value of ``arrival``: new files, then the stream goes on from its checkpoint. A
+    heartbeat at the end releases what is held."""
+    rows = materialise(rows, "arrivals")
+    source, checkpoint = new_folder(spark, "stream"), new_folder(spark, "checkpoint")
+    last, end = rows.agg(F.max("arrival"), F.max("ts_sec")).first()
+    plain = rows.drop("arrival")
+    beat = spark.range(1).select(*[F.lit(end + 30 * 86_400 if n == "ts_sec" else None).cast(t).alias(n) for n, t in plain.dtypes])
+    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes)
+    for arrival in [*range(last + 1), None]:
+        part = beat if arrival is None else rows.filter(F.col("arrival") == arrival).drop("arrival")
+        part.write.mode("append").parquet(source)
+        stream = streams.read_stream(spark, source, schema, files_per_batch=1_000_000)
+        streams.start_batches(job(stream), target, checkpoint, available_only=True).awaitTermination()
+
+
 # ------------------------------------------------------------------ messy text
 def raw_events(spark: SparkSession, folder: str) -> DataFrame:
     """The event table as a hand-made export: odd headers, amounts and times as text in

@@ -19,6 +19,8 @@ from txnrisk.settings import CATEGORICAL_SUMMARY, DEFAULTS, MODEL_FEATURES
 from txnrisk.sources import adapters, artifacts, readers, tables, writers
 from txnrisk.streaming import scoring as streams
 from txnrisk.streaming.budget import StreamingBudget
+from txnrisk.streaming.features import DecisionStream, FeatureStream
+from txnrisk.streaming.holding import held
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -944,24 +946,73 @@ def _canonical(rows: DataFrame) -> DataFrame:
 @query
 def stream_features(spark, d):
     """The test fold as a stream in several micro-batches, state seeded with all earlier rows."""
-    I.stateful_streams(spark)
     p = I.prepared(spark, d)
     rows = p.log.rows
     history = _canonical(rows.filter(F.col("fold") != "test"))
     test = _canonical(rows.filter(F.col("fold") == "test"))
-    out = I.run_stream(spark, streams.stream_features(I.stream_of(spark, test), p.priors, history))
-    return rounded(out, 4)
+    target = FeatureStream(I.new_folder(spark, "features"), p.priors, history)
+    return rounded(I.run_batches(spark, I.stream_of(spark, test), target, "features"), 4)
+
+
+def _late_arrivals(rows: DataFrame) -> DataFrame:
+    """Rows with the micro-batch in which they arrive: up to 50 minutes after their time, and one in 17 two
+    days after it."""
+    number = F.substring("transaction_id", 2, 10).cast("bigint")
+    delay = F.when(number % 17 == 0, 2 * 86_400).otherwise(number % 3000)
+    at = F.col("ts_sec") + delay
+    low, high = rows.agg(F.min("ts_sec"), F.max("ts_sec")).first()
+    span = F.lit(high - low + 2 * 86_400 + 1)
+    return rows.withColumn("arrival", F.floor(4 * (at - low) / span).cast("int"))
 
 
 @query
-def stream_decisions(spark, d):
+def stream_held_order(spark, d):
+    """The test fold arriving out of order, put in order by the watermark: features as of the batch."""
     I.stateful_streams(spark)
+    p = I.prepared(spark, d)
+    rows = p.log.rows
+    history = _canonical(rows.filter(F.col("fold") != "test"))
+    test = _late_arrivals(_canonical(rows.filter(F.col("fold") == "test")))
+    target = FeatureStream(I.new_folder(spark, "features"), p.priors, history)
+    I.run_arrivals(spark, test, lambda stream: held(stream, 3 * 86_400), target)
+    return rounded(I.written(spark, target.path, "features"), 4)
+
+
+@query
+def stream_late_rows(spark, d):
+    """Rows that arrive when the watermark has passed them go to a side output."""
+    I.stateful_streams(spark)
+    p = I.prepared(spark, d)
+    test = _late_arrivals(_canonical(p.log.rows.filter(F.col("fold") == "test")))
+    target = FeatureStream(I.new_folder(spark, "features"), p.priors)
+    I.run_arrivals(spark, test, lambda stream: held(stream, 3600), target)
+    sides = [I.written(spark, target.path, side).select("transaction_id", F.lit(side == "late").alias("late")) for side in ("late", "rows")]
+    return sides[0].unionByName(sides[1])
+
+
+@query
+def stream_decisions(spark, d):
+    """Decisions of a stream that differ from those of the same rows in a table."""
     t = I.trained(spark, d)
     rows = t.log.rows
     history = _canonical(rows.filter(F.col("fold") != "test"))
-    source = I.stream_of(spark, _canonical(rows.filter(F.col("fold") == "test")))
-    out = I.run_stream(spark, streams.stream_decisions(source, t.bundle, history))
-    return out.select("transaction_id", "fraud_probability", "novelty_score", "risk_band")
+    target = DecisionStream(I.new_folder(spark, "decisions"), t.bundle, history)
+    out = I.run_batches(spark, I.stream_of(spark, _canonical(rows.filter(F.col("fold") == "test"))), target, "decisions")
+    keep = ["transaction_id", "fraud_probability", "novelty_score", "risk_band", "tags"]
+    batch = scoring.score_features(t.bundle, t.fold("test")).select(*keep)
+    missing = batch.exceptAll(out.select(*keep)).unionByName(out.select(*keep).exceptAll(batch))
+    return missing.agg(F.count(F.lit(1)).alias("differing_rows"))
+
+
+@query
+def novelty_index(spark, d):
+    """Ranks looked up in the static index of the reference, in both orientations."""
+    rows = I.with_deviation(I.fitted_features(spark, d)).filter(F.col("fold") != "train")
+    reference = rows.filter((F.col("fold") == "val") & (F.col("is_fraud") == 0))
+    index = novelty.RankIndex.fit(novelty.fit_ecdf(reference, "deviation"), bin_size=64)
+    test = rows.filter(F.col("fold") == "test").select("transaction_id", "deviation")
+    both = index.rank(index.rank(test, "deviation"), "deviation", "survival", "survival")
+    return both.select("transaction_id", F.round("novelty", 6).alias("novelty"), F.round("survival", 6).alias("survival"))
 
 
 @query
@@ -979,6 +1030,8 @@ def stream_budget(spark, d):
 
 @query
 def stream_daily_alerts(spark, d):
-    """Alerts per day from a stream; the last day stays open until the watermark passes it."""
-    source = I.stream_of(spark, I.decided(spark, d).select("ts_sec", "transaction_id", "budget_status"))
-    return I.run_stream(spark, streams.daily_alert_stream(source, "0 seconds"))
+    """Alerts per day from a stream that ends with a heartbeat."""
+    rows = I.decided(spark, d).select("ts_sec", "transaction_id", "budget_status")
+    end = rows.agg((F.max("ts_sec") + 2 * 86_400).alias("ts_sec"))
+    beat = end.select("ts_sec", F.lit(None).cast("string").alias("transaction_id"), F.lit(None).cast("string").alias("budget_status"))
+    return I.run_stream(spark, streams.daily_alert_stream(I.stream_of(spark, rows.unionByName(beat)), "0 seconds"))

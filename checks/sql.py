@@ -689,7 +689,13 @@ oracle("stream_features", *FULL, select="SELECT " + rounded(
      "day_of_week", "is_weekend", "is_fraud"] + [f for f in MODEL_FEATURES if f not in ("transaction_hour", "is_night", "day_of_week", "is_weekend")], 4) + " FROM feats WHERE fold = 'test'")
 ORACLES["stream_budget"] = ORACLES["alert_budget"]
 oracle("tree_contrib", *COMBINED, select="SELECT transaction_id, 0.0::DOUBLE AS difference FROM comb WHERE fold = 'test'")
-# the watermark stands at the last alert, so the day it lies in is not emitted yet
-oracle("stream_daily_alerts", *DECISIONS, select="""
- SELECT ts_sec // 86400 AS day, count(*) AS alerts FROM decided WHERE alert
-  AND ts_sec // 86400 < (SELECT max(ts_sec // 86400) FROM decided WHERE alert) GROUP BY 1""")
+oracle("stream_daily_alerts", *DECISIONS, select="SELECT ts_sec // 86400 AS day, count(*) AS alerts FROM decided WHERE alert GROUP BY 1")
+ORACLES["stream_held_order"] = ORACLES["stream_features"]
+oracle("stream_decisions", select="SELECT CAST(0 AS BIGINT) AS differing_rows")
+oracle("stream_late_rows", *COMBINED, """late_at AS (
+ SELECT transaction_id, ts_sec, 4 * (ts_sec + CASE WHEN n % 17 = 0 THEN 172800 ELSE n % 3000 END - min(ts_sec) OVER ()) // (
+  max(ts_sec) OVER () - min(ts_sec) OVER () + 172801) AS arrival
+ FROM (SELECT *, CAST(substr(transaction_id, 2, 10) AS BIGINT) AS n FROM comb WHERE fold = 'test'))""",
+       "marks AS (SELECT arrival, max(max(ts_sec)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600 AS mark FROM late_at GROUP BY arrival)",
+       select="SELECT transaction_id, coalesce((ts_sec // 60 + 1) * 60 <= mark, false) AS late FROM late_at JOIN marks USING (arrival)")
+oracle("novelty_index", *SCORES, select="SELECT transaction_id, round(novelty, 6) AS novelty, round(1 - novelty, 6) AS survival FROM scored WHERE fold = 'test'")

@@ -165,13 +165,21 @@ def test_ecdf_rank_counts_reference_rows_at_or_below(spark):
     assert [r.at_or_below for r in N.ecdf_table(spark.createDataFrame([(v,) for v in ref], "v double"), "v").orderBy("v").collect()] == [1, 4, 5]
 
 
-def test_grid_rank_equals_the_exact_rank_at_four_decimals(spark):
-    rng = random.Random(8)
-    ref = spark.createDataFrame([(rng.gauss(0, 1),) for _ in range(1234)], "v double")
-    ask = spark.createDataFrame([(i, rng.gauss(0, 1.5)) for i in range(300)], "i int, v double")
-    ecdf = N.fit_ecdf(ref, "v")
-    exact = N.ecdf_rank(ask, "v", ecdf).withColumn("g", N.grid_rank(N.ecdf_grid(ecdf), F.col("v"))).collect()
-    assert max(abs(r.novelty - r.g) for r in exact) <= 1e-4 + 1e-12
+@pytest.mark.parametrize("bin_size", [1, 3, 1024])
+def test_rank_index_equals_the_exact_rank(spark, bin_size):
+    import random
+
+    rng = random.Random(2)
+    reference = spark.createDataFrame([(rng.choice([0.0, 1.5, rng.gauss(0, 1), float("inf"), float("-inf")]),) for _ in range(400)] + [(None,), (float("nan"),)], "v double")
+    ecdf = N.fit_ecdf(reference, "v")
+    asked = [r[0] for r in reference.collect()] + [rng.gauss(0, 2) for _ in range(200)] + [-1e300, 1e300]
+    ask = spark.createDataFrame([(float(v) if v is not None else None,) for v in asked], "v double")
+    index = N.RankIndex.fit(ecdf, bin_size)
+    both = index.rank(index.rank(N.ecdf_rank(ask, "v", ecdf, "exact"), "v", "looked_up"), "v", "survival", "survival").collect()
+    assert len(both) == len(asked)
+    assert all(r.exact == r.looked_up and r.survival == 1.0 - r.exact for r in both)
+    with pytest.raises(ValueError):
+        N.RankIndex.fit(ecdf.limit(0))
 
 
 def test_isolation_forest_finds_the_odd_rows(spark, table):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from txnrisk.operators.metrics import ranking_metrics
 from txnrisk.operators.ordering import value_counts_running
 from txnrisk.settings import DEFAULTS, NOVELTY_FEATURES
+from txnrisk.sources.scratch import materialise
 
 # ------------------------------------------------------------------ ECDF
 HUGE = 1e9  # fixed value: stands in for infinite scores
@@ -58,34 +59,68 @@ def ecdf_rank(
     return rows.join(ranks, F.col("_v") == F.col("_rank_v"), "left").drop("_v", "_rank_v")
 
 
-def ecdf_grid(ecdf: DataFrame, steps: int = 10_000) -> list[float]:
-    """Smallest score reaching each of ``steps`` equal shares of the reference.
-
-    At most ``steps`` + 1 numbers; looking a score up in them gives its share cut to
-    1/steps, the precision decisions are reported with. Used where rows arrive one
-    batch at a time and cannot be ranked together.
-    """
-    counts = value_counts_running(ecdf, "v", {"ref": F.col("ref")})
-    total = ecdf.agg(F.sum("ref")).first()[0]
-    reached = F.floor((F.col("before_ref") + F.col("ref")) * F.lit(steps) / F.lit(total)).cast("int")
-    found = counts.groupBy(reached.alias("step")).agg(F.min("v").alias("v")).orderBy("step").collect()
-    grid = [math.inf] * (steps + 1)
-    for step, v in found:
-        grid[step] = v
-    for step in range(steps - 1, -1, -1):
-        grid[step] = min(grid[step], grid[step + 1])
-    return grid
+MOST_BINS = 1 << 16
 
 
-def grid_rank(grid: list[float], value: Column) -> Column:
-    edges = np.asarray(grid)
+@dataclass(frozen=True)
+class RankIndex:
+    """A static index of a reference distribution, for rows that can't be ranked together.
 
-    @F.pandas_udf("double")
-    def rank(x: pd.Series) -> pd.Series:
-        at = np.searchsorted(edges, x.to_numpy(dtype=float), side="right") - 1
-        return pd.Series(np.maximum(at, 0) / (len(edges) - 1))
+    The distinct reference scores lie in bins of equally many; ``edges`` holds the first score of each bin (at most
+    ``MOST_BINS``, whatever the reference), ``bins`` per bin the sorted scores with the number of reference
+    rows at or below each. A score finds its bin in the edges, the bin by an equality join, and its place by halving,
+    so the share is the one that ``ecdf_rank`` gives, and a stream can be joined with the index.
+    """
 
-    return rank(finite(value))
+    edges: list[float]
+    bins: DataFrame
+    total: int
+    steps: int  # halvings that the largest bin takes
+
+    @classmethod
+    def fit(cls, ecdf: DataFrame, bin_size: int = 1024) -> RankIndex:
+        sums = {"ref": F.col("ref"), "one": F.lit(1).cast("bigint")}
+        counts = value_counts_running(ecdf, "v", sums)
+        total, distinct = ecdf.agg(F.sum("ref"), F.count(F.lit(1))).first()
+        if not total:
+            raise ValueError("the reference distribution is empty")
+        n = min(MOST_BINS, -(-distinct // bin_size))
+        number = F.expr(f"div(before_one * {n}, {distinct})").cast("int")
+        at = F.struct("v", (F.col("before_ref") + F.col("ref")).alias("n"))
+        grouped = counts.groupBy(number.alias("_bin")).agg(F.array_sort(F.collect_list(at)).alias("a"), F.min("before_ref").alias("_below"))
+        table = materialise(
+            grouped.select("_bin", "_below", F.col("a.v").alias("_values"), F.col("a.n").alias("_counts")), "ranks"
+        )
+        edges = [r[0] for r in table.orderBy("_bin").select(F.col("_values")[0]).collect()]
+        return cls(edges, table, total, (-(-distinct // n) + 1).bit_length())
+
+    def rank(self, df: DataFrame, value: str, name: str = "novelty", orientation: str = "rank") -> DataFrame:
+        edges = np.asarray(self.edges)
+
+        @F.pandas_udf("int")
+        def bin_of(x: pd.Series) -> pd.Series:
+            return pd.Series(np.maximum(np.searchsorted(edges, x.to_numpy(dtype=float), side="right") - 1, 0).astype("int32"))
+
+        rows = df.withColumn("_v", finite(F.col(value))).withColumn("_bin", bin_of("_v"))
+        table = F.broadcast(self.bins) if len(self.edges) * (2 << self.steps) <= 1 << 20 else self.bins
+        rows = rows.join(table, "_bin")
+
+        def halved(span: Column, _: Column) -> Column:
+            low, high = span["low"], span["high"]
+            middle = F.floor((low + high) / 2).cast("int")
+            below = F.get("_values", middle) <= F.col("_v")
+            return F.struct(
+                F.when(low >= high, low).when(below, middle + 1).otherwise(low).alias("low"),
+                F.when(low >= high, high).when(below, high).otherwise(middle).alias("high"),
+            )
+
+        start = F.struct(F.lit(0).alias("low"), F.size("_values").alias("high"))
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(self.steps)), start, halved)["low"]
+        below = F.coalesce(F.get("_counts", at - 1), F.col("_below"))
+        share = below / F.lit(self.total)
+        if orientation == "survival":
+            share = 1.0 - share
+        return rows.withColumn(name, share).drop("_v", "_bin", "_below", "_values", "_counts")
 
 
 # ------------------------------------------------------------------ isolation forest
