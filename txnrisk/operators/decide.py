@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.functions import columns as C
-from txnrisk.operators.ordering import exact_quantiles, value_counts_running
+from txnrisk.operators.ordering import value_counts_running
+from txnrisk.operators.quantiles import exact_quantiles
 from txnrisk.settings import DEFAULTS, AlertBudget, Thresholds
 
 
@@ -18,10 +19,12 @@ def fit_thresholds(
     budget: AlertBudget = DEFAULTS.budget,
     base: Thresholds = DEFAULTS.thresholds,
 ) -> Thresholds:
-    """Probability thresholds that leave the budgeted shares of ``scores`` above them."""
+    """Probability thresholds that leave the budgeted shares of ``scores`` above them; ``base`` without any score."""
     high_at = 1.0 - budget.high_risk_pct / 100.0
     review_at = max(0.0, 1.0 - budget.budget_pct / 100.0)
     p_high, p_review = exact_quantiles(scores, p, [high_at, review_at])
+    if p_high is None:
+        return base
     return replace(
         base,
         p_review=round(max(p_review, 0.001), 4),

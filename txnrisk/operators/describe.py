@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import columns as C
 from txnrisk.operators.metrics import ranking_metrics
-from txnrisk.operators.ordering import exact_quantiles
+from txnrisk.operators.quantiles import exact_quantiles
 
 
 def rate_by(df: DataFrame, key: str) -> DataFrame:

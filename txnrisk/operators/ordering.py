@@ -98,9 +98,31 @@ def blockwise(
     )
 
 
+def _block_offsets(df: DataFrame, seq: str) -> DataFrame | None:
+    """(_block, _offset): rows in the blocks before, if ``df`` holds every row of its blocks, else None.
+    One small row per block passes the driver."""
+    size = (F.max(row_in_block(seq)) + 1).alias("size")
+    found = df.groupBy(block_of(seq).alias("block")).agg(F.count(F.lit(1)).alias("n"), size).orderBy("block").collect()
+    offsets, before = [], 0
+    for r in found:
+        if r["n"] != r["size"]:
+            return None
+        offsets.append((r["block"], before))
+        before += r["n"]
+    return df.sparkSession.createDataFrame(offsets, "_block bigint, _offset bigint")
+
+
 def with_row_index(df: DataFrame, seq: str = SEQ, name: str = "row_index") -> DataFrame:
-    """Zero-based position of every row in the total order."""
-    return blockwise(df, [], {name: ("sum", F.lit(1).cast("bigint"))}, seq)
+    """Zero-based position of every row in the total order.
+
+    In a whole ordered table it is the offset of the row's block plus the row's place in it, which ``seq`` holds: no row
+    moves. Where rows have been filtered out, positions are counted along the blocks.
+    """
+    offsets = _block_offsets(df, seq)
+    if offsets is None:
+        return blockwise(df, [], {name: ("sum", F.lit(1).cast("bigint"))}, seq)
+    placed = df.withColumn("_block", block_of(seq)).join(F.broadcast(offsets), "_block")
+    return placed.select(*df.columns, (F.col("_offset") + row_in_block(seq)).alias(name))
 
 
 def value_counts_running(df: DataFrame, value: str, sums: dict[str, Column]) -> DataFrame:
@@ -110,33 +132,3 @@ def value_counts_running(df: DataFrame, value: str, sums: dict[str, Column]) ->
     table = ordered_table(grouped, value, seq="_vseq")
     bases = {f"before_{name}": ("sum", F.col(name)) for name in sums}
     return blockwise(table, [], bases, "_vseq").drop("_vseq")
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbouring ranks.
-
-    Works on value counts that stay spread over blocks; only the wanted ranks are read.
-    """
-    counts = materialise(
-        df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), "counts"
-    )
-    if counts.isEmpty():
-        return [None] * len(probs)
-    total = counts.agg(F.sum("n")).first()[0]
-    ranks: list[int] = []
-    for p in probs:
-        at = p * (total - 1)
-        ranks += [int(at), min(int(at) + 1, total - 1)]
-    running = value_counts_running(counts, value, {"n": F.col("n")})
-
-    def at_rank(r: int) -> Column:
-        holds = (F.col("before_n") <= r) & (F.lit(r) < F.col("before_n") + F.col("n"))
-        return F.max(F.when(holds, F.col(value)))
-
-    found = running.agg(*[at_rank(r).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
-    out = []
-    for i, p in enumerate(probs):
-        low, high = float(found[2 * i]), float(found[2 * i + 1])
-        at = p * (total - 1)
-        out.append(low + (high - low) * (at - int(at)))
-    return out

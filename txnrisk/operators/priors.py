@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import columns as C
 from txnrisk.operators.asof import TxnLog, history
-from txnrisk.operators.ordering import exact_quantiles
+from txnrisk.operators.quantiles import exact_quantiles
 from txnrisk.settings import DEFAULTS, STRATA, TIERS
 
 MIN_SD = 0.05  # fixed value: stands in for a deviation of exactly zero
