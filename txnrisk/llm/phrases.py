@@ -52,34 +52,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), utf8("text").alias("text"))
 
 
-def _batch(held: dict[str, Counter], key: str) -> pa.RecordBatch:
+def _batch(held: dict[str, Counter]) -> pa.RecordBatch:
     langs = [lang for lang, counts in held.items() for _ in range(len(counts))]
     keys = [k for counts in held.values() for k in counts]
     sums = [n for counts in held.values() for n in counts.values()]
     return pa.RecordBatch.from_arrays(
-        [pa.array(langs, pa.string()), pa.array(keys, pa.binary()), pa.array(sums, pa.int64())], names=["lang", key, "n"]
+        [pa.array(langs, pa.string()), pa.array(keys, pa.binary()), pa.array(sums, pa.int64())], names=["lang", "phrase", "n"]
     )
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n): occurrences of every word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = defaultdict(Counter)
-        for batch, texts in slices(batches, "text", 1 << 20):
-            for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                held[lang].update(tokens(text))
-                held[lang].pop(BREAK, None)
-            if sum(map(len, held.values())) > HELD:
-                yield _batch(held, "word")
-                held.clear()
-        yield _batch(held, "word")
-        held.clear()
-        release()
-
-    return _texts(docs).mapInArrow(run, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-
 class _Hashes(dict):
     """word -> 64-bit hash that the lang is part of; remembers a bounded number of words."""
 
@@ -157,7 +138,7 @@ def bit_set(pairs: DataFrame, bits: int) -> list[tuple[int, bytes]]:
 
 
 def windows(docs: DataFrame, segments: list[tuple[int, bytes]], bits: int, longest: int) -> DataFrame:
-    """(lang, phrase, n): windows of two words or more, every word closed by a space."""
+    """(lang, phrase, n): the window of every word, each of its words closed by a space."""
     shift = np.uint64(64 - (bits.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,18 +150,16 @@ def windows(docs: DataFrame, segments: list[tuple[int, bytes]], bits: int, longe
             pairs, there = _pairs(hashes)
             bit = pairs >> shift
             there &= (flags[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            starts = np.flatnonzero(there)
-            if not len(starts):
-                continue
-            ends = np.flatnonzero(np.concatenate([~there, [True]]))  # the last word of a run of frequent pairs
+            starts = np.flatnonzero(hashes)
+            ends = np.flatnonzero(~there)  # the last word of a run of frequent pairs
             stops = np.minimum(starts + longest, ends[np.searchsorted(ends, starts)] + 1)
             offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
             joined = b" ".join(words) + b" "
             held[lang].update([joined[a:b] for a, b in zip(offsets[starts].tolist(), offsets[stops].tolist(), strict=True)])
             if sum(map(len, held.values())) > HELD:
-                yield _batch(held, "phrase")
+                yield _batch(held)
                 held.clear()
-        yield _batch(held, "phrase")
+        yield _batch(held)
         held.clear()
         release()
 
@@ -188,8 +167,8 @@ def windows(docs: DataFrame, segments: list[tuple[int, bytes]], bits: int, longe
 
 
 def _path_counts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of all phrases of two words or more from windows in prefix order. Those that may go on in
-    the part before or after come whatever their count."""
+    """Counts of all phrases from windows in prefix order. Those that may go on in the part before or
+    after come whatever their count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_lang, path, sums, first = None, [], [], True
@@ -198,7 +177,7 @@ def _path_counts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         def close(depth: int, always: bool) -> None:
             for size in range(len(path), depth, -1):
                 n = sums[size - 1]
-                if size > 1 and (always or n >= least):
+                if always or n >= least:
                     for column, value in zip(out, (open_lang, b" ".join(path[:size]), size, n), strict=True):
                         column.append(value)
                 if size > 1:
@@ -247,16 +226,13 @@ def _counts_batch(out: tuple[list, list, list, list]) -> pa.RecordBatch:
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of phrases of one to ``longest`` words with ``f >= least``, and (lang, n)."""
-    words = materialise(word_counts(docs), "words")
-    frequent = words.filter(F.col("n") >= least)
     pairs = bit_set(pair_counts(docs).filter(F.col("n") >= least), bits)
     found = materialise(windows(docs, pairs, bits, longest), "windows")
     ranged = found.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
     parts = ranged.mapInArrow(_path_counts(least), "lang string, phrase binary, words int, f bigint")
-    many = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    single = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))
-    counts = single.unionByName(many).withColumn("phrase", F.col("phrase").cast("string"))
-    return materialise(counts, "phrases"), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    counts = parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    totals = found.groupBy("lang").agg(F.sum("n").alias("n"))  # every word begins one window
+    return materialise(counts.withColumn("phrase", F.col("phrase").cast("string")), "phrases"), totals
 
 
 def _lockstep(side: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
