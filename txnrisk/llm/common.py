@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import os
 import shutil
@@ -54,6 +55,24 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_kept: list = []
+
+
+def kept(load):
+    """A loader whose last result a worker keeps for its next tasks."""
+    cached = functools.lru_cache(maxsize=1)(load)
+    _kept.append(cached)
+    return cached
+
+
+def keep_only(mine=None) -> None:
+    """Drop what other operators' loaders keep: a worker that is used again serves one of them at a time."""
+    for cached in _kept:
+        if cached is not mine:
+            cached.cache_clear()
+    release()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches so that no slice has more than ``limit`` bytes of ``text``, one row
     at least; yields each slice with its texts."""

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.llm.common import SLICE_BYTES, slices, utf8
+from txnrisk.llm.common import SLICE_BYTES, keep_only, kept, slices, utf8
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 32
@@ -95,7 +94,7 @@ class Pieces:
         return out
 
 
-@lru_cache(maxsize=2)
+@kept
 def pieces(model: str) -> Pieces:
     return Pieces(model)
 
@@ -191,6 +190,7 @@ def fit(docs: DataFrame, model: str, where: Column | None = None) -> tuple[list[
         rows = rows.filter(where)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(pieces)
         vocab = pieces(model)
         n = vocab.unknown + 1
         even = np.full(n, 1 / n)
@@ -231,6 +231,7 @@ def _judged(docs: DataFrame, model: str, langs: list[str], probabilities: np.nda
     sent = docs.sparkSession.sparkContext.broadcast(probabilities)  # languages x vocabulary
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(pieces)
         vocab, p = pieces(model), sent.value
         step = max(1, WORDS * 4 // max(4, len(langs)))
         for batch, texts in slices(batches, "_text", SLICE):

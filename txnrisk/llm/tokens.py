@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,16 +26,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnrisk.llm import pfor
-from txnrisk.llm.common import AtomicFile, fresh_folder, opened, release, slices, spread, utf8
+from txnrisk.llm.common import AtomicFile, fresh_folder, keep_only, kept, opened, release, slices, spread, utf8
 from txnrisk.sources.scratch import materialise
 
 MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
 READ = "doc_id bigint, shard int, nth int, offset bigint, n_tokens bigint, ids_crc32 bigint"
 #: Distinct chunks of text whose ids a task remembers.
 REMEMBERED = 300_000
+#: Bytes of text that a task cuts into chunks at a time.
+SLICE = 2 << 20
 
 
-@lru_cache(maxsize=2)
+@kept
 def _tokenizer(path: str):
     import os
 
@@ -48,7 +49,8 @@ def _tokenizer(path: str):
 
 class Encoder:
     """Ids of texts under a tokenizer whose words never reach across ASCII white space, that
-    ignores case and white space, and that ends each word with a piece ``...</w>``.
+    ignores case and white space, and that ends each word with a piece ``...</w>``. Plain letters are a-z and the small
+    letters of Latin-1.
 
     Texts are cut at ASCII white space, where the tokenizer cuts them anyway, and each distinct
     chunk is encoded once. Letters before ASCII punctuation are a word of their own: such plain
@@ -56,7 +58,7 @@ class Encoder:
     chunks one by one.
     """
 
-    PLAIN = re.compile(rb"([a-z]+)([.,!$%&*#|]*)")
+    PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,!$%&*#|]*)")
 
     def __init__(self, path: str, remember: int = REMEMBERED):
         self.tokenizer = _tokenizer(path)
@@ -160,10 +162,11 @@ def write_shards(
     ranged = rows.repartitionByRange(keys[0]).sortWithinPartitions(*keys, "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(_tokenizer)
         shard = TaskContext.get().partitionId()
         name = f"{folder}/part-{shard:06d}.pfor"
         encode, out, writer = Encoder(tokenizer), None, None
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", SLICE):
             if writer is None:
                 out = AtomicFile(name)
                 writer = pfor.ShardWriter(out)
