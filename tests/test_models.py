@@ -97,9 +97,15 @@ def test_tree_contributions_add_up_to_the_margin(spark, table, fitted, name):
         assert sum(r.x) + found.bias == pytest.approx(margin, abs=1e-9)
 
 
+def _of_patterns(leaves, patterns, d):
+    """Contributions to rows that meet the conditions whose bits are set."""
+    points = np.where((np.array(patterns)[:, None] >> np.arange(d)) & 1, 0.5, 2.0)
+    return A.contributions_of(A.packed(leaves), points, d)
+
+
 def test_pattern_values_are_shapley_values():
     leaf = A.Leaf((0, 1, 2), (0.0,) * 3, (1.0,) * 3, (0.3, 0.5, 0.8), 2.0)
-    table = A._pattern_values(leaf)
+    table = _of_patterns([leaf], range(8), 3)
 
     def worth(coalition, met):
         return leaf.value * math.prod(met[j] if j in coalition else leaf.share[j] for j in range(3))
@@ -119,11 +125,27 @@ def test_a_deep_path_is_attributed_without_its_2_to_the_d_patterns():
     rng = np.random.default_rng(1)
     leaf = A.Leaf(tuple(range(d)), (0.0,) * d, (1.0,) * d, tuple(rng.uniform(0.2, 1.0, d)), 2.0)
     asked = np.array([0, 5, (1 << d) - 1])
-    got = A._pattern_values(leaf, asked).sum(axis=1)
+    got = _of_patterns([leaf], asked, d).sum(axis=1)
     nothing = 2.0 * math.prod(leaf.share)
     assert got == pytest.approx([-nothing, -nothing, 2.0 - nothing], rel=1e-9)
 
 
+def test_packed_leaves_add_up_whatever_the_groups():
+    rng = np.random.default_rng(3)
+    leaves = []
+    for _ in range(200):
+        d = int(rng.integers(0, 7))
+        names = tuple(int(i) for i in rng.permutation(9)[:d])
+        low = rng.normal(-1, 1, d)
+        leaves.append(A.Leaf(names, tuple(low), tuple(low + rng.exponential(2, d)), tuple(rng.uniform(0.05, 1, d)), float(rng.normal())))
+    points = rng.normal(0, 1, (50, 9))
+    together = A.contributions_of(A.packed(leaves), points, 9)
+    single = sum(A.contributions_of(A.packed([leaf]), points, 9) for leaf in leaves)
+    split = A.contributions_of(A.packed(leaves, 30), points, 9, 30)
+    np.testing.assert_allclose(together, single, atol=1e-12)
+    np.testing.assert_allclose(split, single, atol=1e-12)
+
+
 def test_registered_queries_fit_models_of_the_default_size(spark, monkeypatch):
     from checks import inputs, queries
 
