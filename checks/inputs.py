@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnrisk.functions import columns as C
-from txnrisk.operators import budget, decide, features, models, novelty, priors, reasons, splits
+from txnrisk.operators import budget, decide, density, features, models, novelty, priors, reasons, splits
 from txnrisk.operators.asof import TxnLog
 from txnrisk.plans import scoring
 from txnrisk.settings import MODEL_FEATURES, Thresholds
@@ -153,6 +153,11 @@ def boosted(spark: SparkSession, folder: str):
     )
 
 
+def local_density(spark: SparkSession, folder: str) -> density.LocalDensity:
+    train = fitted_features(spark, folder).filter(F.col("fold") == "train")
+    return _once(spark, folder, "density", lambda: density.fit_local_density(splits.legitimate(train)))
+
+
 def stateful_streams(spark: SparkSession) -> None:
     """Stateful processors need the RocksDB state store; that is the application's choice."""
     spark.conf.set(

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from txnrisk.functions import columns as C
 from txnrisk.operators import (
-    asof, attribution, budget, canonical, decide, describe, features, metrics, models, novelty, priors, quality,
+    density, asof, attribution, budget, canonical, decide, describe, features, metrics, models, novelty, priors, quality,
     reasons, splits,
 )
 from txnrisk.plans import evaluation, scoring
 from txnrisk.settings import CATEGORICAL_SUMMARY, DEFAULTS, MODEL_FEATURES
 from txnrisk.sources import adapters, artifacts, readers, tables, writers
+from txnrisk.sources.scratch import materialise
 from txnrisk.streaming import scoring as streams
 from txnrisk.streaming.budget import StreamingBudget
 from txnrisk.streaming.features import DecisionStream, FeatureStream
@@ -829,12 +830,28 @@ def isolation_novelty(spark, d):
 def novelty_variants(spark, d):
     legit = splits.legitimate(_fold(spark, d, "train"))
     forest = novelty.fit_isolation_forest(legit)
-    val = _fold(spark, d, "val").withColumns(
+    val = I.local_density(spark, d).deviation(_fold(spark, d, "val"), name="density")
+    val = val.withColumns(
         {"forest": forest.deviation(spark), "gaussian": novelty.gaussian_deviation(novelty.fit_gaussian(legit))}
     )
-    return novelty.compare_variants(
-        val, {"isolation_forest": "forest", "gaussian_distance": "gaussian"}, F.col("is_fraud") == 0
-    )
+    variants = {"isolation_forest": "forest", "gaussian_distance": "gaussian", "local_density": "density"}
+    return novelty.compare_variants(materialise(val, "variants"), variants, F.col("is_fraud") == 0)
+
+
+@query
+def local_density(spark, d):
+    """How thin the legitimate training rows are around every test row, compared with their neighbours."""
+    found = I.local_density(spark, d).deviation(_fold(spark, d, "test"))
+    return found.select("transaction_id", F.round("deviation", 4).alias("deviation"))
+
+
+@query
+def density_recall(spark, d):
+    """Neighbours found of the test rows whose number is divisible by 20, against all reference rows."""
+    fit = I.local_density(spark, d)
+    asked = _fold(spark, d, "test").filter(F.substring("transaction_id", 2, 10).cast("bigint") % 20 == 0)
+    exact = density.exact_neighbours(density.points(asked, fit.features), fit.refs.filter("tree = 0"), fit.k)
+    return density.recall(fit.found(asked), exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query

@@ -699,3 +699,4 @@ oracle("stream_late_rows", *COMBINED, """late_at AS (
        "marks AS (SELECT arrival, max(max(ts_sec)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600 AS mark FROM late_at GROUP BY arrival)",
        select="SELECT transaction_id, coalesce((ts_sec // 60 + 1) * 60 <= mark, false) AS late FROM late_at JOIN marks USING (arrival)")
 oracle("novelty_index", *SCORES, select="SELECT transaction_id, round(novelty, 6) AS novelty, round(1 - novelty, 6) AS survival FROM scored WHERE fold = 'test'")
+oracle("density_recall", *COMBINED, select="SELECT count(*) AS queries, true AS enough FROM comb WHERE fold = 'test' AND CAST(substr(transaction_id, 2, 10) AS BIGINT) % 20 = 0")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnrisk.operators.metrics import ranking_metrics
+from txnrisk.operators.metrics import exact_ranking_metrics
 from txnrisk.operators.ordering import value_counts_running
 from txnrisk.settings import DEFAULTS, NOVELTY_FEATURES
 from txnrisk.sources.scratch import materialise
@@ -266,7 +266,7 @@ def compare_variants(scored: DataFrame, deviations: dict[str, str], reference: C
     out = None
     for variant, column in deviations.items():
         ranked = ecdf_rank(scored, column, fit_ecdf(scored.filter(reference), column))
-        part = ranking_metrics(ranked, "novelty").select(
+        part = exact_ranking_metrics(ranked, "novelty").select(
             F.lit(variant).alias("variant"), F.round("roc_auc", 4).alias("novelty_auroc")
         )
         out = part if out is None else out.unionByName(part)
