@@ -37,7 +37,6 @@ REMEMBERED = 300_000
 SLICE = 2 << 20
 
 
-@kept
 def _tokenizer(path: str):
     import os
 
@@ -134,6 +133,12 @@ class Encoder:
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
+@kept
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder; what it has learnt serves its next tasks."""
+    return Encoder(path)
+
+
 def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Append ``end`` to every document."""
     after = lengths + 1
@@ -162,10 +167,10 @@ def write_shards(
     ranged = rows.repartitionByRange(keys[0]).sortWithinPartitions(*keys, "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only(_tokenizer)
+        keep_only(_encoder)
         shard = TaskContext.get().partitionId()
         name = f"{folder}/part-{shard:06d}.pfor"
-        encode, out, writer = Encoder(tokenizer), None, None
+        encode, out, writer = _encoder(tokenizer), None, None
         for batch, texts in slices(batches, "text", SLICE):
             if writer is None:
                 out = AtomicFile(name)
@@ -175,7 +180,7 @@ def write_shards(
         if writer is not None:
             n_docs, n_ids = writer.close()
             out.commit()
-            del encode, writer, ids, lengths, texts, batch
+            del writer, ids, lengths, texts, batch
             release()
             yield pa.RecordBatch.from_pydict(
                 {"shard": pa.array([shard], pa.int32()), "path": [name], "n_docs": [n_docs], "n_ids": [n_ids]}
