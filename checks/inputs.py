@@ -265,3 +265,34 @@ def raw_events(spark: SparkSession, folder: str) -> DataFrame:
         ).otherwise("0").alias("isFraud"),
         F.col("event_id").alias("line_no"),
     )
+
+
+def dated_events(spark: SparkSession, folder: str) -> DataFrame:
+    """(line_no, style, text): event times in several spellings, numbers with the day first."""
+    e = spark.read.parquet(f"{folder}/events.parquet")
+    sec = C.epoch_seconds(F.col("ts"))
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(sec / 86_400).cast("int"))
+    hour, minute, second = (F.pmod(F.floor(sec / d), F.lit(m)) for d, m in ((3600, 24), (60, 60), (1, 60)))
+    y, m, d = (f(date).cast("string") for f in (F.year, F.month, F.dayofmonth))
+
+    def two(x):
+        return F.lpad(x.cast("string"), 2, "0")
+
+    name = F.get(F.array(*[F.lit(n.title()) for n in C.MONTHS]), F.month(date) - 1)
+    clock = F.concat_ws(":", two(hour), two(minute), two(second))
+    half = F.when(hour < 12, "AM").otherwise("PM")
+    style = (F.col("event_id") % 8).cast("int")
+    texts = [
+        F.concat_ws(" ", date.cast("string"), clock),
+        F.concat_ws(" ", F.concat_ws("/", two(d), two(m), y), clock),
+        F.concat_ws(" ", F.concat_ws(".", d, m, y), F.concat_ws(":", two(hour), two(minute))),
+        F.concat_ws(" ", F.concat_ws("/", y, m, d), clock),
+        F.concat_ws(" ", d, name, y, clock),
+        F.concat(name, F.lit(" "), d, F.lit(", "), y, F.lit(" "), F.pmod(hour + 11, F.lit(12)) + 1, F.lit(":"), two(minute), F.lit(":"), two(second), F.lit(" "), half),
+        F.concat_ws("-", two(d), two(m), y),
+        F.lit("31/31/2024 10:00"),
+    ]
+    text = texts[-1]
+    for i, t in enumerate(texts[:-1]):
+        text = F.when(style == i, t).otherwise(text)
+    return e.select(F.col("event_id").alias("line_no"), style.alias("style"), text.alias("timestamp"))

@@ -15,7 +15,7 @@ from txnrisk.operators import (
     reasons, splits,
 )
 from txnrisk.plans import evaluation, scoring
-from txnrisk.settings import CATEGORICAL_SUMMARY, DEFAULTS, MODEL_FEATURES
+from txnrisk.settings import CATEGORICAL_SUMMARY, DEFAULTS, LABEL, MODEL_FEATURES, REQUIRED
 from txnrisk.sources import adapters, artifacts, readers, tables, writers
 from txnrisk.sources.scratch import materialise
 from txnrisk.streaming import scoring as streams
@@ -89,6 +89,93 @@ def invalid_rows_routed(spark, d):
     )
 
 
+@query
+def timestamp_formats(spark, d):
+    """Times in several spellings; the column tells that the day comes first."""
+    raw = I.dated_events(spark, d)
+    order = canonical.date_order(raw)
+    found = raw.select("line_no", C.parsed_epoch(F.col("timestamp"), order).alias("ts_sec"), F.lit(order).alias("date_order"))
+    return found.filter(F.col("ts_sec").isNotNull())
+
+
+@query
+def header_mapping(spark, d):
+    return canonical.header_mapping(I.raw_events(spark, d))
+
+
+@query
+def required_columns(spark, d):
+    """Loads without one of the required columns are refused, whatever their rows."""
+    raw = I.raw_events(spark, d)
+    headers = canonical.map_schema(raw.columns).mapping
+    refused = []
+    for name in [*REQUIRED, LABEL]:
+        try:
+            canonical.canonicalise(raw.drop(headers[name]))
+        except ValueError as e:
+            refused.append((name, name in str(e)))
+    table = spark.createDataFrame(refused, "column string, named boolean")
+    rows = raw.agg(F.count(F.lit(1)).alias("rows_refused"), F.lit(True).alias("named"))
+    return table.join(F.broadcast(rows), "named").select("column", "rows_refused")
+
+
+@query
+def unlabelled_load(spark, d):
+    """A file without labels: every row counts as legitimate."""
+    raw = I.raw_events(spark, d).drop("isFraud")
+    rows = canonical.canonicalise(raw, require_label=False, keep_first_by=["line_no"])
+    return rows.groupBy("is_fraud").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def amount_filter(spark, d):
+    rows = canonical.with_amount(canonical.canonicalise(I.raw_events(spark, d), keep_first_by=["line_no"]))
+    return rows.select("transaction_id", F.round("amount", 2).alias("amount"))
+
+
+@query
+def request_constraints(spark, d):
+    """Single requests must keep the range of hours as well."""
+    raw = I.raw_events(spark, d)
+    rows = canonical.coerced(canonical.renamed(raw, canonical.map_schema(raw.columns)))
+    rows = rows.withColumn("transaction_hour", (F.col("line_no") % 30 - 3).cast("int"))
+    checked = canonical.validated(rows, request=True)
+    return checked.groupBy(F.array_join("errors", "|").alias("errors"), "valid").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _fixed_decisions(spark, d):
+    fitted = I.prepared(spark, d).priors
+
+    def score(log):
+        rows = features.point_in_time_features(log, fitted)
+        rows = rows.withColumns({"p": reasons.logistic(reasons.linear_margin(I.WEIGHTS, I.INTERCEPT)), "novelty": F.lit(0.0)})
+        return decide.unbudgeted_status(decide.with_decision(rows, DEFAULTS.thresholds))
+
+    return score
+
+
+@query
+def file_decisions(spark, d):
+    """One answer for every row of a raw file, in its order: scored rows and rejected ones with their errors."""
+    found, _ = scoring.file_decisions(I.raw_events(spark, d), _fixed_decisions(spark, d), "line_no", require_label=True)
+    return found.select(
+        "line_no", "transaction_id", F.array_join("errors", "|").alias("errors"), (F.col("risk_band") == "invalid").alias("rejected"),
+        F.col("fraud_probability").isNotNull().alias("scored"), (F.col("alert") == (F.col("budget_status") == "alert")).alias("consistent"),
+    )
+
+
+@query
+def load_report(spark, d):
+    """Figures observed while the rows of a file are scored, and how many headers were found."""
+    found, report = scoring.file_decisions(I.raw_events(spark, d), _fixed_decisions(spark, d), "line_no", require_label=True)
+    answered = found.agg(F.count(F.lit(1)).alias("answers"))
+    counts = report.counts
+    return answered.select(
+        "answers", *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("rows", "unparseable_timestamps", "without_amount")],
+        F.lit(len(report.mapping.mapping)).cast("bigint").alias("mapped"), F.lit(len(report.mapping.unmapped)).cast("bigint").alias("unmapped"),
+    )
+
+
 @query
 def foreign_adapter(spark, d):
     out = adapters.adapt_payments(*_payment_tables(spark, d))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.inputs import ALL_WEIGHTS, INTERCEPT, WEIGHTS
-from txnrisk.settings import MODEL_FEATURES, NOVELTY_FEATURES, REASON_GROUPS
+from txnrisk.settings import ALIASES, LABEL, MODEL_FEATURES, NOVELTY_FEATURES, REASON_GROUPS, REQUIRED
 
 ORACLES: dict[str, str] = {}
 
@@ -700,3 +700,24 @@ oracle("stream_late_rows", *COMBINED, """late_at AS (
        select="SELECT transaction_id, coalesce((ts_sec // 60 + 1) * 60 <= mark, false) AS late FROM late_at JOIN marks USING (arrival)")
 oracle("novelty_index", *SCORES, select="SELECT transaction_id, round(novelty, 6) AS novelty, round(1 - novelty, 6) AS survival FROM scored WHERE fold = 'test'")
 oracle("density_recall", *COMBINED, select="SELECT count(*) AS queries, true AS enough FROM comb WHERE fold = 'test' AND CAST(substr(transaction_id, 2, 10) AS BIGINT) % 20 = 0")
+
+# ================================================================== from file to decision
+FIRST = "kept AS (SELECT * FROM typed QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY line_no) = 1)"
+oracle("timestamp_formats", select="""
+ SELECT event_id AS line_no, 'day' AS date_order, CASE event_id % 8 WHEN 2 THEN s // 60 * 60 WHEN 6 THEN s // 86400 * 86400 ELSE s END AS ts_sec
+ FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) WHERE event_id % 8 <> 7""")
+HEADERS = {"transaction_id": " Txn_ID ", "timestamp": "Event_Time", "amount": "AMT", "customer_id": "CID", "merchant_id": "Merchant", "device_id": "device", "is_fraud": "isFraud"}
+oracle("header_mapping", select="SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', {repr(HEADERS[c]) if c in HEADERS else 'NULL'}, {c in REQUIRED or c == LABEL})" for c in ALIASES) + ") t(\"column\", header, required)")
+oracle("required_columns", select="SELECT \"column\", (SELECT count(*) FROM events) AS rows_refused FROM (VALUES " + ", ".join(
+    f"('{c}')" for c in [*REQUIRED, LABEL]) + ") t(\"column\")")
+oracle("unlabelled_load", RAW, TYPED, FIRST, select="SELECT CAST(0 AS INT) AS is_fraud, count(*) AS rows FROM kept WHERE ts_sec IS NOT NULL")
+oracle("amount_filter", RAW, TYPED, FIRST, select="SELECT transaction_id, round(amount, 2) AS amount FROM kept WHERE ts_sec IS NOT NULL AND amount IS NOT NULL")
+oracle("request_constraints", RAW, TYPED, """err AS (SELECT concat_ws('|', CASE WHEN amount IS NULL THEN 'amount must be a positive number' END,
+ CASE WHEN ts_sec IS NULL THEN 'timestamp required' END, CASE WHEN line_no % 30 - 3 NOT BETWEEN 0 AND 23 THEN 'transaction_hour must be 0..23' END) AS errors FROM typed)""",
+       select="SELECT errors, errors = '' AS valid, count(*) AS rows FROM err GROUP BY 1, 2")
+oracle("file_decisions", RAW, TYPED, FIRST, ERRORS.replace("FROM typed", "FROM kept"), select="""
+ SELECT line_no, transaction_id, errors, errors <> '' AS rejected, errors = '' AS scored, true AS consistent FROM err""")
+oracle("load_report", RAW, TYPED, FIRST, select="""
+ SELECT count(*) AS answers, count(*) AS rows, count(*) FILTER (WHERE ts_sec IS NULL) AS unparseable_timestamps,
+  count(*) FILTER (WHERE amount IS NULL) AS without_amount, CAST(7 AS BIGINT) AS mapped, CAST(10 AS BIGINT) AS unmapped FROM kept""")

@@ -91,6 +91,65 @@ def test_validation(spark):
     assert {r.risk_band for r in bad.collect()} == {"invalid"} and not any(r.alert for r in bad.collect())
 
 
+TIMES = {
+    "05/01/2024 10:30": ("2024-05-01 10:30:00", "2024-01-05 10:30:00"), "5.1.2024": ("2024-05-01 00:00:00", "2024-01-05 00:00:00"),
+    "25/12/2024 23:59:59": ("2024-12-25 23:59:59",) * 2, "12-25-2024 1:02:03.9": ("2024-12-25 01:02:03",) * 2, "2024/2/9T07:08": ("2024-02-09 07:08:00",) * 2,
+    "9 Feb 2024 07:08:09": ("2024-02-09 07:08:09",) * 2, "February 9, 2024 12:30 AM": ("2024-02-09 00:30:00",) * 2, "Feb 9, 2024 1:30:05 pm": ("2024-02-09 13:30:05",) * 2,
+    "07/07/2024 12:00 PM": ("2024-07-07 12:00:00",) * 2, "01/02/2024 13:00 PM": (None, None), "31/31/2024": (None, None), "9 Foo 2024": (None, None),
+    "2024-02-09 07:08:09": ("2024-02-09 07:08:09",) * 2, "02/09/2024 10:00:00+02:00": ("2024-02-09 08:00:00", "2024-09-02 08:00:00"),
+}
+
+
+@pytest.mark.parametrize("order", [C.MONTH_FIRST, C.DAY_FIRST, C.MIXED])
+def test_time_formats(spark, order):
+    import datetime as dt
+
+    df = spark.createDataFrame([(t,) for t in TIMES], "t string")
+    got = {r.t: r.s for r in df.select("t", C.parsed_epoch(F.col("t"), order).alias("s")).collect()}
+    for text, (month, day) in TIMES.items():
+        want = day if order == C.DAY_FIRST else month
+        if order == C.MIXED and month != day:
+            want = None
+        epoch = None if want is None else int(dt.datetime.fromisoformat(want + "+00:00").timestamp())
+        assert got[text] == epoch, text
+
+
+def test_date_order_is_decided_over_the_column(spark):
+    def order(*texts):
+        return canonical.date_order(spark.createDataFrame([(t,) for t in texts], "timestamp string"))
+
+    assert order("05/01/2024", "13/01/2024", "x", None) == C.DAY_FIRST
+    assert order("05/01/2024", "01/13/2024 10:00") == C.MONTH_FIRST
+    assert order("01/13/2024", "13/01/2024") == C.MIXED
+    assert order("2024-01-13", "05/05/2024") == C.MONTH_FIRST
+    raw = [("a", "05/01/2024 10:30", "5", "C", "M", "D"), ("b", "25/01/2024", "5", "C", "M", "D"), ("b", "26/01/2024", "5", "C", "M", "D")]
+    df = spark.createDataFrame(raw, "id string, time string, amt string, cid string, mid string, did string")
+    rows = {r.transaction_id: str(r.timestamp) for r in canonical.canonicalise(df, require_label=False).collect()}
+    assert rows == {"a": "2024-01-05 10:30:00", "b": "2024-01-25 00:00:00"}  # of two copies without an order the least stays
+
+
+def test_file_to_decisions(spark):
+    from txnrisk.plans import scoring
+
+    raw = [(1, "a", "2024-05-01 10:00:00", "5", "C"), (2, "b", "no time", "5", "C"), (3, "c", "2024-05-01 09:00:00", "-1", "C"),
+           (4, "a", "2024-05-01 11:00:00", "5", "C"), (5, "d", "2024-05-01 08:00:00", "7", "C"), (6, None, "2024-05-01 08:30:00", "7", "C"), (7, "e", "2024-05-01 08:00:00", "7", None)]
+    df = spark.createDataFrame(raw, "line int, id string, time string, amt string, cid string").selectExpr("*", "'M' as mid", "'D' as did")
+
+    def score(log):
+        n = F.lit(0.25)
+        return log.rows.select("transaction_id", F.lit("normal").alias("risk_band"), F.lit(False).alias("alert"), F.lit("log").alias("budget_status"),
+                               n.alias("fraud_probability"), n.alias("novelty_score"), n.alias("rank_score"))
+
+    found, report = scoring.file_decisions(df, score, "line")
+    got = [(r.line, r.transaction_id, r.risk_band, list(r.errors)) for r in found.collect()]
+    assert got == [
+        (1, "a", "normal", []), (2, "b", "invalid", ["timestamp required"]), (3, "c", "invalid", ["amount must be a positive number"]),
+        (5, "d", "normal", []), (6, None, "normal", []), (7, "e", "invalid", ["customer_id required"]),
+    ]
+    assert report.counts == {"rows": 6, "unparseable_timestamps": 1, "without_amount": 1}
+    assert report.mapping.mapping["amount"] == "amt" and "velocity_8min" in report.mapping.unmapped
+
+
 def test_keep_first_takes_the_stated_order(spark):
     df = spark.createDataFrame([("a", 3, "z"), ("a", 1, "y"), ("b", 2, "x"), ("a", 2, None)], "id string, o int, v string")
     assert sorted(tuple(r) for r in canonical.keep_first(df, "id", ["o"]).collect()) == [("a", 1, "y"), ("b", 2, "x")]

@@ -11,6 +11,19 @@ from txnrisk.settings import BANDS, DAY, AlertBudget, Thresholds
 THOUSANDS_COMMA = r",(?=\d{3}(?:\.\d*)?$)"
 ZONE_SUFFIX = r"(?i)(?:Z|UTC|[+-]\d{2}:?\d{2})$"
 EPOCH_NTZ = "timestamp_ntz'1970-01-01 00:00:00'"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+# dates that aren't ISO text: 05/01/2024 (also with . or -), 2024/1/5, 5 Jan 2024 and Jan 5, 2024, each with or without a clock
+_MARK, _CLOCK, _OVER_12 = r"[/.-]", r"(?:[T ,]+(.*))?$", r"(1[3-9]|[23]\d)"
+NUMBER_DATE = rf"^(\d{{1,2}}){_MARK}(\d{{1,2}}){_MARK}(\d{{4}}){_CLOCK}"
+FIRST_OVER_12 = rf"^{_OVER_12}{_MARK}(\d{{1,2}}){_MARK}(\d{{4}}){_CLOCK}"
+SECOND_OVER_12 = rf"^(\d{{1,2}}){_MARK}{_OVER_12}{_MARK}(\d{{4}}){_CLOCK}"
+EQUAL_NUMBERS = rf"^(\d{{1,2}}){_MARK}(\1){_MARK}(\d{{4}}){_CLOCK}"
+YEAR_DATE = rf"^(\d{{4}})[/.](\d{{1,2}})[/.](\d{{1,2}}){_CLOCK}"
+DAY_NAME_DATE = rf"^(\d{{1,2}})[ -]([A-Za-z]{{3}})[a-z]*[ ,-]+(\d{{4}}){_CLOCK}"
+NAME_DAY_DATE = rf"^([A-Za-z]{{3}})[a-z]* +(\d{{1,2}})[ ,]+(\d{{4}}){_CLOCK}"
+NAMED_MONTH = r"^\d{4}-[A-Za-z]{3}-"
+HALF_DAY = r"(?i) *[AP]M$"
+DAY_FIRST, MONTH_FIRST, MIXED = "day", "month", "mixed"
 
 
 # ------------------------------------------------------------------ cleaning
@@ -34,11 +47,42 @@ def epoch_seconds(wall: Column) -> Column:
     return F.unix_date(wall.cast("date")).cast("bigint") * DAY + clock
 
 
-def parsed_epoch(text: Column) -> Column:
-    """Epoch seconds (floor) of timestamp text. Text without a zone is read as UTC."""
+def iso_text(text: Column, order: str = MONTH_FIRST) -> Column:
+    """Dates of the stated forms as ISO text. ``order`` says what the first of two numbers is where both may be a
+    month; with ``MIXED`` such dates aren't read."""
+    t = F.regexp_replace(F.trim(text), SECOND_OVER_12, "$3-$1-$2 $4")
+    t = F.regexp_replace(t, FIRST_OVER_12, "$3-$2-$1 $4")
+    either = EQUAL_NUMBERS if order == MIXED else NUMBER_DATE
+    t = F.regexp_replace(t, either, "$3-$2-$1 $4" if order == DAY_FIRST else "$3-$1-$2 $4")
+    t = F.regexp_replace(t, YEAR_DATE, "$1-$2-$3 $4")
+    t = F.regexp_replace(F.regexp_replace(t, DAY_NAME_DATE, "$3-$2-$1 $4"), NAME_DAY_DATE, "$3-$1-$2 $4")
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(t, 6, 3)))
+    numbered = F.concat(F.substring(t, 1, 5), month.cast("string"), F.substring(t, 9, 100))
+    return F.when(t.rlike(NAMED_MONTH), numbered).otherwise(t)
+
+
+def date_order_counts(text: Column) -> list[Column]:
+    """Aggregates day_first, month_first, either: dates of two numbers by the readings that they allow."""
     t = F.trim(text)
+    first, second = (F.regexp_extract(t, NUMBER_DATE, i).try_cast("int") for i in (1, 2))
+    return [
+        F.count_if((first > 12) & (second <= 12)).alias("day_first"),
+        F.count_if((second > 12) & (first <= 12)).alias("month_first"),
+        F.count_if((first <= 12) & (second <= 12) & (first != second)).alias("either"),
+    ]
+
+
+def parsed_epoch(text: Column, order: str = MONTH_FIRST) -> Column:
+    """Epoch seconds (floor) of timestamp text. Text without a zone is read as UTC."""
+    t = iso_text(text, order)
+    clock = F.trim(F.regexp_replace(t, HALF_DAY, ""))
     zoned = F.floor(F.unix_micros(t.try_cast("timestamp")) / F.lit(1_000_000)).cast("bigint")
-    return F.when(t.rlike(ZONE_SUFFIX), zoned).otherwise(epoch_seconds(t.try_cast("timestamp_ntz")))
+    wall = epoch_seconds(clock.try_cast("timestamp_ntz"))
+    hour = F.pmod(F.floor(wall / 3600), F.lit(24))
+    late = F.upper(F.regexp_extract(t, HALF_DAY, 0)).contains("P")
+    shift = F.when(hour > 12, None).when(late & (hour < 12), 43_200).when(~late & (hour == 12), -43_200).otherwise(0)
+    half_day = F.when(t.rlike(HALF_DAY), shift).otherwise(0)
+    return F.when(t.rlike(ZONE_SUFFIX), zoned).otherwise(wall + half_day)
 
 
 def utc_wall(ts_sec: Column) -> Column:

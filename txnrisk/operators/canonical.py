@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,7 +58,18 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("_nth", nth).filter(F.col("_nth") == 1).drop("_nth")
 
 
-def coerced(df: DataFrame) -> DataFrame:
+def date_order(df: DataFrame, column: str = "timestamp") -> str:
+    """Whether dates such as 05/01/2024 give the day or the month first, from those of the column that allow one
+    reading only. Month first without any such date; ``mixed`` if there are both, and then only these are read."""
+    if dict(df.dtypes)[column] != "string":
+        return C.MONTH_FIRST
+    found = df.agg(*C.date_order_counts(F.col(column))).first()
+    if found.day_first and found.month_first:
+        return C.MIXED
+    return C.DAY_FIRST if found.day_first else C.MONTH_FIRST
+
+
+def coerced(df: DataFrame, order: str = C.MONTH_FIRST) -> DataFrame:
     """Typed canonical columns. Rows whose timestamp cannot be read keep a null
     ``ts_sec``, and unreadable or non-positive amounts become null."""
     out = df
@@ -71,7 +82,7 @@ def coerced(df: DataFrame) -> DataFrame:
     elif types["timestamp"] == "timestamp":
         ts_sec = F.floor(F.unix_micros(ts) / F.lit(1_000_000)).cast("bigint")
     else:
-        ts_sec = C.parsed_epoch(ts)
+        ts_sec = C.parsed_epoch(ts, order)
     out = out.withColumns(
         {
             "transaction_id": F.col("transaction_id").cast("string"),
@@ -97,20 +108,24 @@ def canonicalise(df: DataFrame, require_label: bool = True, keep_first_by: list[
     ``keep_first_by`` states which of several rows with one id comes first;
     a scan made by ``read_transactions`` carries its file order for it.
     """
+    out = first_copies(df, require_label, keep_first_by)
+    return coerced(out, date_order(out)).filter(F.col("ts_sec").isNotNull()).drop(ARRIVAL)
+
+
+def first_copies(df: DataFrame, require_label: bool = True, keep_first_by: list[str] | None = None) -> DataFrame:
+    """Rows under canonical names, one per transaction_id. Where no order is known, the copy with the least values stays."""
     schema = map_schema([c for c in df.columns if c != ARRIVAL], require_label=require_label)
     require_columns(schema)
     out = renamed(df, schema)
-    order = keep_first_by or ([ARRIVAL] if ARRIVAL in df.columns else None)
-    if order:
-        out = keep_first(out, "transaction_id", order)
-    return coerced(out).filter(F.col("ts_sec").isNotNull()).drop(ARRIVAL)
+    order = keep_first_by or ([ARRIVAL] if ARRIVAL in df.columns else ["timestamp", *sorted(set(out.columns) - {"timestamp"})])
+    return keep_first(out, "transaction_id", order)
 
 
 def with_amount(df: DataFrame) -> DataFrame:
     return df.filter(F.col("amount").isNotNull())
 
 
-def load_metadata(df: DataFrame, require_label: bool = True) -> DataFrame:
+def load_metadata(df: DataFrame, require_label: bool = True, order: str = C.MONTH_FIRST) -> DataFrame:
     """Row counts of the load: read, duplicates dropped, unreadable timestamps, kept.
 
     One aggregate over one row per id: all copies of an id but the first go, so the
@@ -119,12 +134,12 @@ def load_metadata(df: DataFrame, require_label: bool = True) -> DataFrame:
     schema = map_schema([c for c in df.columns if c != ARRIVAL], require_label=require_label)
     require_columns(schema)
     out = renamed(df, schema)
-    order = F.struct(ARRIVAL) if ARRIVAL in out.columns else F.struct("timestamp")
+    arrival = F.struct(ARRIVAL) if ARRIVAL in out.columns else F.struct("timestamp")
     per_id = out.groupBy("transaction_id").agg(
         F.count(F.lit(1)).alias("copies"),
-        F.min_by(F.col("timestamp").cast("string"), order).alias("timestamp"),
+        F.min_by(F.col("timestamp").cast("string"), arrival).alias("timestamp"),
     )
-    bad = C.parsed_epoch(F.col("timestamp")).isNull().cast("bigint")
+    bad = C.parsed_epoch(F.col("timestamp"), order).isNull().cast("bigint")
     return per_id.agg(
         F.sum("copies").cast("bigint").alias("rows_read"),
         F.sum(F.col("copies") - 1).cast("bigint").alias("duplicate_txns_dropped"),
@@ -133,6 +148,40 @@ def load_metadata(df: DataFrame, require_label: bool = True) -> DataFrame:
     )
 
 
+def header_mapping(df: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
+    """(column, header, required): every canonical column with the header that feeds it, null without one."""
+    schema = map_schema([c for c in df.columns if c != ARRIVAL], aliases)
+    rows = [(name, schema.mapping.get(name), name in REQUIRED or name == LABEL) for name in aliases]
+    return df.sparkSession.createDataFrame(rows, "column string, header string, required boolean")
+
+
+@dataclass
+class LoadReport:
+    """Figures of a load that fill in while its rows are read for the first time; nothing is read twice for them."""
+
+    mapping: SchemaMap
+    date_order: str
+    _observed: Observation
+
+    @property
+    def counts(self) -> dict[str, int]:
+        """Rows after duplicates went, unreadable times, and rows kept; waits for the first action on the rows."""
+        return dict(self._observed.get)
+
+
+def loaded(df: DataFrame, require_label: bool = True, keep_first_by: list[str] | None = None) -> tuple[DataFrame, LoadReport]:
+    """Typed rows, those that can't be scored included, and the report of the load."""
+    schema = map_schema([c for c in df.columns if c != ARRIVAL], require_label=require_label)
+    out = first_copies(df, require_label, keep_first_by)
+    order = date_order(out)
+    observed = Observation("load")
+    rows = coerced(out, order).observe(
+        observed, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("ts_sec").isNull()).alias("unparseable_timestamps"),
+        F.count_if(F.col("amount").isNull()).alias("without_amount"),
+    )
+    return rows, LoadReport(schema, order, observed)
+
+
 # ------------------------------------------------------------------ validation
 def validation_errors(request: bool = False) -> Column:
     """Array of error texts of a row; empty if it may be scored.
