@@ -153,6 +153,11 @@ def boosted(spark: SparkSession, folder: str):
     )
 
 
+def bagged(spark: SparkSession, folder: str):
+    rows = fitted_features(spark, folder)
+    return _once(spark, folder, "bagged", lambda: models.fit_forest(rows.filter(F.col("fold") == "train")))
+
+
 def local_density(spark: SparkSession, folder: str) -> density.LocalDensity:
     train = fitted_features(spark, folder).filter(F.col("fold") == "train")
     return _once(spark, folder, "density", lambda: density.fit_local_density(splits.legitimate(train)))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from txnrisk.functions import columns as C
 from txnrisk.operators import (
-    density, asof, attribution, budget, canonical, decide, describe, features, metrics, models, novelty, priors, quality,
+    asof, density, attribution, budget, canonical, decide, describe, features, metrics, models, novelty, priors, quality,
     reasons, splits,
 )
+from txnrisk.operators.ordering import blockwise, ordered_table
 from txnrisk.plans import evaluation, scoring
 from txnrisk.settings import CATEGORICAL_SUMMARY, DEFAULTS, LABEL, MODEL_FEATURES, REQUIRED
 from txnrisk.sources import adapters, artifacts, readers, tables, writers
@@ -884,8 +885,93 @@ def lr_scores(spark, d):
 
 @query
 def rf_scores(spark, d):
-    model = models.fit_forest(_fold(spark, d, "train"))
-    return rounded(models.with_raw_probability(model, _fold(spark, d, "val")).select("transaction_id", "raw_probability"))
+    rows = models.with_raw_probability(I.bagged(spark, d), _fold(spark, d, "val"))
+    return rounded(rows.select("transaction_id", "raw_probability"))
+
+
+@query
+def lr_stationary(spark, d):
+    """At the fitted coefficients the gradient of the penalised, weighted loss vanishes."""
+    train = _fold(spark, d, "train")
+    model = models.fit_logistic(train)
+    fit = model.stages[-1]
+    w = models.class_weights(train).first()
+    rows = model.transform(train).select(
+        F.when(F.col("is_fraud") == 1, w.balanced_pos).otherwise(w.balanced_neg).alias("w"), vector_to_array("scaled").alias("x"),
+        (vector_to_array("probability")[1] - F.col("is_fraud")).alias("gap"),
+    )
+    n = len(MODEL_FEATURES)
+    sums = rows.agg(F.sum("w"), F.sum(F.col("w") * F.col("gap")), *[F.sum(F.col("w") * F.col("gap") * F.col("x")[i]) for i in range(n)]).first()
+    pull = [fit.getRegParam() * c for c in fit.coefficients.toArray()]
+    gradient = [sums[1] / sums[0], *[sums[2 + i] / sums[0] + pull[i] for i in range(n)]]
+    counted = train.agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select("rows", F.lit(len(gradient)).cast("bigint").alias("parameters"), F.lit(max(map(abs, gradient)) < 1e-4).alias("stationary"))
+
+
+@query
+def forest_contrib(spark, d):
+    """Contributions of the forest and the bias add up to its probability: the difference of both, row by row."""
+    model = I.bagged(spark, d)
+    found = attribution.tree_attribution(spark, model.stages[-1])
+    test = _fold(spark, d, "test").withColumn("contributions", found.contributions(spark))
+    total = F.aggregate("contributions", F.lit(found.bias), lambda a, b: a + b)
+    rows = models.with_raw_probability(model, test)
+    return rounded(rows.select("transaction_id", F.abs(total - F.col("raw_probability")).alias("difference")), 6)
+
+
+@query
+def isolation_walk(spark, d):
+    """Anomaly scores of the rows whose number is divisible by 20 against a walk over the node table by joins."""
+    forest = novelty.fit_isolation_forest(splits.legitimate(_fold(spark, d, "train")))
+    val = _fold(spark, d, "val").filter(F.substring("transaction_id", 2, 10).cast("bigint") % 20 == 0)
+    nodes = forest.table(spark).withColumnRenamed("tree", "t").withColumnRenamed("node", "at")
+    n = F.col("size").cast("double")
+    depth = F.when(n > 2, 2 * (F.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n).when(n == 2, 1.0).otherwise(0.0)
+    table = F.broadcast(nodes.withColumn("expected", depth))  # trees x sample nodes at most
+    x = F.array(*[F.nanvl(F.coalesce(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in forest.features])
+    walk = val.select("transaction_id", x.alias("x"), forest.deviation(spark).alias("score"))
+    walk = walk.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(int(forest.nodes["tree"].max()))))).withColumn("node", F.lit(0))
+    for _ in range(int(forest.nodes["depth"].max())):
+        step = walk.join(table, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("at")))
+        down = F.when(F.get("x", F.col("feature")) <= F.col("threshold"), F.col("low")).otherwise(F.col("high"))
+        walk = step.select("transaction_id", "x", "score", "tree", F.when(F.col("feature") < 0, F.col("node")).otherwise(down).alias("node"))
+    ends = walk.join(table, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("at")))
+    roots = F.broadcast(nodes.withColumn("norm", depth).filter("at = 0").select(F.col("t").alias("r"), "norm"))
+    share = (F.col("depth") + F.col("expected")) / F.col("norm")
+    found = ends.join(roots, F.col("tree") == F.col("r")).groupBy("transaction_id").agg(F.avg(share).alias("share"), F.max("score").alias("score"))
+    gap = F.abs(F.pow(F.lit(2.0), -F.col("share")) - 0.5 - F.col("score"))
+    return found.select("transaction_id", (gap < 1e-9).alias("equal"))
+
+
+@query
+def calibration_checks(spark, d):
+    """What both calibrations must keep on the half they are fitted on, and that the better one was chosen."""
+    val = materialise(models.with_raw_probability(I.boosted(spark, d), _fold(spark, d, "val")), "val")
+    halves = splits.half_split(val, "transaction_id", DEFAULTS.seed)
+    fitting, held_out = halves.filter(F.col("half") == "fit"), halves.filter(F.col("half") == "eval")
+    fits = {"platt": models.fit_platt(fitting), "isotonic": models.fit_isotonic(fitting)}
+    facts, lost = {}, {}
+    for name, fit in fits.items():
+        p, y = fit.transform(fitting).agg(F.avg("p"), F.avg("is_fraud")).first()
+        facts[f"{name}_keeps_mean"] = abs(p - y) < 1e-3
+        lost[name] = fit.transform(held_out).agg(metrics.brier("p")).first()[0]
+    ranked = ordered_table(fits["isotonic"].transform(val).select("raw_probability", "p"), "raw_probability")
+    before = blockwise(ranked, [], {"highest": ("max", F.col("p"))})
+    facts["isotonic_rises"] = before.filter(F.col("p") < F.col("highest") - 1e-12).isEmpty()
+    facts["better_chosen"] = models.fit_calibrator(val).method == min(lost, key=lost.get)
+    return val.agg(F.count(F.lit(1)).alias("rows")).select("rows", *[F.lit(v).alias(k) for k, v in facts.items()])
+
+
+@query
+def stream_fresh_state(spark, d):
+    """A stream without history against the features of the same rows as a table: rows that differ."""
+    log = I.events_log(spark, d)
+    fitted = I.prepared(spark, d).priors
+    target = FeatureStream(I.new_folder(spark, "features"), fitted)
+    out = rounded(I.run_batches(spark, I.stream_of(spark, _canonical(log.rows)), target, "features"), 6)
+    batch = rounded(features.point_in_time_features(log, fitted).select(*out.columns), 6)
+    missing = batch.exceptAll(out).unionByName(out.exceptAll(batch))
+    return missing.agg(F.count(F.lit(1)).alias("differing_rows"))
 
 
 @query

@@ -721,3 +721,11 @@ oracle("file_decisions", RAW, TYPED, FIRST, ERRORS.replace("FROM typed", "FROM k
 oracle("load_report", RAW, TYPED, FIRST, select="""
  SELECT count(*) AS answers, count(*) AS rows, count(*) FILTER (WHERE ts_sec IS NULL) AS unparseable_timestamps,
   count(*) FILTER (WHERE amount IS NULL) AS without_amount, CAST(7 AS BIGINT) AS mapped, CAST(10 AS BIGINT) AS unmapped FROM kept""")
+
+# ================================================================== what fitted models must keep
+oracle("lr_stationary", *COMBINED, select="SELECT count(*) AS rows, CAST(41 AS BIGINT) AS parameters, true AS stationary FROM comb WHERE fold = 'train'")
+oracle("forest_contrib", *COMBINED, select="SELECT transaction_id, 0.0::DOUBLE AS difference FROM comb WHERE fold = 'test'")
+oracle("isolation_walk", *COMBINED, select="SELECT transaction_id, true AS equal FROM comb WHERE fold = 'val' AND CAST(substr(transaction_id, 2, 10) AS BIGINT) % 20 = 0")
+oracle("calibration_checks", *COMBINED, select="""
+ SELECT count(*) AS rows, true AS platt_keeps_mean, true AS isotonic_keeps_mean, true AS isotonic_rises, true AS better_chosen FROM comb WHERE fold = 'val'""")
+oracle("stream_fresh_state", select="SELECT CAST(0 AS BIGINT) AS differing_rows")

@@ -72,6 +72,29 @@ def test_running_value_counts(spark):
     assert got == {1: (2, 0), 2: (1, 2), 3: (3, 3)}
 
 
+def test_a_frequent_key_is_joined_in_many_tasks(spark):
+    """One key holds half of the rows; no task of the join may hold them."""
+    from txnrisk.operators.ordering import spread_join
+
+    rows = spark.range(20_000).select(F.col("id"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 3 == 0, F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
+    table = spark.createDataFrame([("hot", 1), ("k3", 2), ("absent", 3)], "key string, value int")
+    auto, adaptive = (spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        for df in (rows, ordered_table(rows, "id", blocks=16)):
+            got = spread_join(df, table, "key")
+            sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(sizes) < 0.45 * 20_000 and sum(sizes) == 20_000
+            want = df.join(table, "key", "left").select(*df.columns, "value")
+            assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+            for how in ("left_semi", "left_anti"):
+                assert spread_join(df, table.select("key"), "key", how).count() == df.join(table, "key", how).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_quantiles_of_many_columns_in_few_scans(spark, monkeypatch):
     import math
     import random

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,17 +74,31 @@ def date_order_counts(text: Column) -> list[Column]:
     ]
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _wall_epoch(t: Column) -> Column:
+    """Epoch seconds of zone-free ISO text whose clock may have twelve hours."""
+    late = F.upper(F.regexp_extract(t, HALF_DAY, 0)).contains("P")
+    half = t.rlike(HALF_DAY)
+
+    def shifted(wall: Column) -> Column:
+        hour = F.pmod(F.floor(wall / 3600), F.lit(24))
+        shift = F.when(hour > 12, None).when(late & (hour < 12), 43_200).when(~late & (hour == 12), -43_200).otherwise(0)
+        return wall + F.when(half, shift).otherwise(0)
+
+    return _bound(_bound(F.trim(F.regexp_replace(t, HALF_DAY, "")).try_cast("timestamp_ntz"), epoch_seconds), shifted)
+
+
 def parsed_epoch(text: Column, order: str = MONTH_FIRST) -> Column:
     """Epoch seconds (floor) of timestamp text. Text without a zone is read as UTC."""
-    t = iso_text(text, order)
-    clock = F.trim(F.regexp_replace(t, HALF_DAY, ""))
-    zoned = F.floor(F.unix_micros(t.try_cast("timestamp")) / F.lit(1_000_000)).cast("bigint")
-    wall = epoch_seconds(clock.try_cast("timestamp_ntz"))
-    hour = F.pmod(F.floor(wall / 3600), F.lit(24))
-    late = F.upper(F.regexp_extract(t, HALF_DAY, 0)).contains("P")
-    shift = F.when(hour > 12, None).when(late & (hour < 12), 43_200).when(~late & (hour == 12), -43_200).otherwise(0)
-    half_day = F.when(t.rlike(HALF_DAY), shift).otherwise(0)
-    return F.when(t.rlike(ZONE_SUFFIX), zoned).otherwise(wall + half_day)
+    def epoch(t: Column) -> Column:
+        zoned = F.floor(F.unix_micros(t.try_cast("timestamp")) / F.lit(1_000_000)).cast("bigint")
+        return F.when(t.rlike(ZONE_SUFFIX), zoned).otherwise(_wall_epoch(t))
+
+    return _bound(iso_text(text, order), epoch)
 
 
 def utc_wall(ts_sec: Column) -> Column:

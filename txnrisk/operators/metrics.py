@@ -13,9 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from txnrisk.functions import columns as C
-from txnrisk.operators.ordering import SEQ, blockwise, value_counts_running
+from txnrisk.operators.ordering import SEQ, blockwise, spread_join, value_counts_running
 from txnrisk.operators.splits import first_time_flags
 from txnrisk.settings import DEFAULTS
+from txnrisk.sources.scratch import materialise
 
 
 def scores_at(df: DataFrame, score: str, by: list[str] | None = None, label: str = "is_fraud", digits: int = 4) -> DataFrame:
@@ -28,13 +29,12 @@ def scores_at(df: DataFrame, score: str, by: list[str] | None = None, label: str
     )
 
 
-def curve_points(df: DataFrame, score: str, by: list[str] | None = None, label: str = "is_fraud", digits: int = 4) -> DataFrame:
-    """Precision and recall when everything scored at or above a value is alerted."""
-    by = by or []
+def _curve(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Points of the curve from one row per (group, distinct score) with n and pos."""
     down = W.partitionBy(*by).orderBy(F.desc("score"))
     upto = down.rowsBetween(W.unboundedPreceding, 0)
     all_rows = W.partitionBy(*by)
-    points = scores_at(df, score, by, label, digits).select(
+    points = counts.select(
         *by, "score", "n", "pos",
         F.sum("n").over(upto).alias("alerted"),
         F.sum("pos").over(upto).alias("caught"),
@@ -49,6 +49,11 @@ def curve_points(df: DataFrame, score: str, by: list[str] | None = None, label:
     )
 
 
+def curve_points(df: DataFrame, score: str, by: list[str] | None = None, label: str = "is_fraud", digits: int = 4) -> DataFrame:
+    """Precision and recall when everything scored at or above a value is alerted."""
+    return _curve(scores_at(df, score, by, label, digits), by or [])
+
+
 def pr_curve(df: DataFrame, score: str = "fraud_probability", digits: int = 4) -> DataFrame:
     return curve_points(df, score, digits=digits).select("score", "alerted", "caught", "precision", "recall")
 
@@ -58,8 +63,10 @@ def ranking_metrics(
 ) -> DataFrame:
     """Average precision (step form) and area under the ROC curve (ties count half)
     per group; null for a group with one class."""
-    by = by or []
-    pts = curve_points(df, score, by, label, digits)
+    return _ranking(curve_points(df, score, by, label, digits), by or [])
+
+
+def _ranking(pts: DataFrame, by: list[str]) -> DataFrame:
     neg = F.col("n") - F.col("pos")
     negatives = F.col("rows") - F.col("positives")
     # negatives ranked strictly below this score, and half of the tied ones
@@ -122,26 +129,26 @@ def at_budget(
     and is the whole table even when ``df`` is a cohort of it. The rows of the one
     score the budget ends in are counted along their blocks, never gathered.
     """
-    pts = curve_points(df, score, label=label, digits=digits)
-    n = df.count()
-    out = None
-    for pct in budget_pcts:
-        k = min(budget_size(n if n_total is None else n_total, pct), n)
-        edge = pts.filter((F.col("alerted") - F.col("n") < k) & (F.col("alerted") >= k)).first()
-        if edge is None:
-            part = pts.sparkSession.createDataFrame([(float(pct), 0, 0, 0)], "budget_pct double, alerts bigint, tp bigint, positives bigint")
-        else:
-            take = k - (edge.alerted - edge.n)
-            tied = df.filter(F.round(score, digits) == edge.score).select(SEQ, F.col(label).alias("y"))
-            ranked = blockwise(tied, [], {"_i": ("sum", F.lit(1).cast("bigint"))})
-            caught = ranked.filter(F.col("_i") < take).agg(F.coalesce(F.sum("y"), F.lit(0)).alias("y"))
-            part = caught.select(
-                F.lit(float(pct)).alias("budget_pct"),
-                F.lit(k).cast("bigint").alias("alerts"),
-                (F.lit(edge.caught - edge.pos) + F.col("y")).cast("bigint").alias("tp"),
-                F.lit(edge.positives).cast("bigint").alias("positives"),
-            )
-        out = part if out is None else out.unionByName(part)
+    counts = materialise(scores_at(df, score, label=label, digits=digits), "counts")
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sizes = [(float(pct), min(budget_size(n if n_total is None else n_total, pct), n)) for pct in budget_pcts]
+    budgets = F.array(*[F.struct(F.lit(pct).alias("budget_pct"), F.lit(k).cast("bigint").alias("k")) for pct, k in sizes])
+    start = F.col("alerted") - F.col("n")
+    edges = _curve(counts, []).select("*", F.inline(budgets)).filter((start < F.col("k")) & (F.col("alerted") >= F.col("k")))
+    edges = materialise(
+        edges.select("budget_pct", "k", "positives", (F.col("k") - start).alias("_take"), (F.col("caught") - F.col("pos")).alias("_above"), F.col("score").alias("_score")),
+        "edges",
+    )  # one row per budget
+    tied = df.select(SEQ, F.col(label).alias("y"), F.round(score, digits).alias("_s"))
+    tied = tied.join(F.broadcast(edges.select(F.col("budget_pct"), "_score", "_take")), F.col("_s") == F.col("_score"))
+    ranked = blockwise(tied, ["budget_pct"], {"_i": ("sum", F.lit(1).cast("bigint"))})
+    caught = ranked.filter(F.col("_i") < F.col("_take")).groupBy("budget_pct").agg(F.sum("y").alias("_tied"))
+    every = df.sparkSession.createDataFrame(sizes, "budget_pct double, alerts bigint")
+    out = every.join(F.broadcast(edges.drop("k")), "budget_pct", "left").join(F.broadcast(caught), "budget_pct", "left").select(
+        "budget_pct", "alerts",
+        (F.coalesce("_above", F.lit(0)) + F.coalesce("_tied", F.lit(0))).cast("bigint").alias("tp"),
+        F.coalesce("positives", F.lit(0)).cast("bigint").alias("positives"),
+    )
     return out.select(
         "budget_pct",
         "alerts",
@@ -200,11 +207,10 @@ def reliability_summary(df: DataFrame, p: str = "fraud_probability", label: str
 def cohort_flags(scored: DataFrame, train_customers: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """unseen / known customer and, with features, the first-time flags.
 
-    ``train_customers`` is joined by key, not collected; Spark broadcasts it only
-    if it turns out small.
+    ``train_customers`` is joined by key and block, not collected, so a frequent customer is no task of its own.
     """
     seen = train_customers.select("customer_id").distinct().withColumn("_seen", F.lit(1))
-    out = scored.join(seen, "customer_id", "left")
+    out = spread_join(scored, seen, "customer_id")
     out = out.withColumn("known_customer", F.coalesce("_seen", F.lit(0))).drop("_seen")
     out = out.withColumn("unseen_customer", 1 - F.col("known_customer"))
     if features is not None:
@@ -226,27 +232,43 @@ def _cohort_names() -> Column:
     )
 
 
-def cohort_report(flagged: DataFrame, budget_pct: float = 2.0) -> DataFrame:
-    """One row per non-empty cohort. Rows shrink to one per cohort and score pair
-    before any window; ranking metrics of a single-class cohort are null."""
+def cohort_cube(flagged: DataFrame) -> DataFrame:
+    """Counts per (cohorts, score kind, score): one scan of the rows, from which every figure of the cohorts follows.
+    At most 2^5 sets of cohorts x 2 x 10,001 scores."""
+    legit = F.col("is_fraud") == 0
+    gap = F.col("fraud_probability") - F.col("is_fraud")
+    kinds = F.array(
+        F.struct(F.lit("p").alias("kind"), F.round("fraud_probability", 4).alias("score")),
+        F.struct(F.lit("novelty").alias("kind"), F.round("novelty_score", 4).alias("score")),
+    )
     rows = flagged.select(
-        F.explode(_cohort_names()).alias("cohort"), SEQ, "fraud_probability", "novelty_score", "is_fraud"
+        _cohort_names().alias("cohorts"), F.col("is_fraud").cast("bigint").alias("y"), (gap * gap).alias("loss"),
+        legit.cast("bigint").alias("legit"), (legit & (F.col("novelty_score") >= 0.9)).cast("bigint").alias("novel"), F.inline(kinds),
     )
-    legit = F.col("is_fraud") == 0
-    base = rows.groupBy("cohort").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum("is_fraud").cast("bigint").alias("n_fraud"),
-        brier().alias("brier"),
-        F.avg(F.when(legit, (F.col("novelty_score") >= 0.9).cast("double"))).alias("false_novelty_rate"),
+    return rows.groupBy("cohorts", "kind", "score").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.sum("loss").alias("loss"), F.sum("legit").alias("legit"), F.sum("novel").alias("novel")
     )
-    by_p = ranking_metrics(rows, "fraud_probability", ["cohort"])
-    by_novelty = ranking_metrics(rows, "novelty_score", ["cohort"]).select(
-        "cohort", F.col("roc_auc").alias("novelty_auroc")
+
+
+def cohort_report(flagged: DataFrame, budget_pct: float = 2.0) -> DataFrame:
+    """One row per non-empty cohort; ranking metrics of a single-class cohort are null. The rows are read for the cube,
+    and those of the one score in which a cohort's budget ends for their order."""
+    cube = materialise(cohort_cube(flagged), "cube")
+    total = cube.filter("kind = 'p'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    k = budget_size(total, budget_pct)
+    sums = [F.sum(c).alias(c) for c in ("n", "pos", "loss", "legit", "novel")]
+    counts = cube.withColumn("cohort", F.explode("cohorts")).groupBy("cohort", "kind", "score").agg(*sums)
+    of_p, of_novelty = (counts.filter(F.col("kind") == kind) for kind in ("p", "novelty"))
+    base = of_p.groupBy("cohort").agg(
+        F.sum("n").alias("n_rows"), F.sum("pos").alias("n_fraud"), (F.sum("loss") / F.sum("n")).alias("brier"),
+        (F.sum("novel") / F.nullif(F.sum("legit"), F.lit(0))).alias("false_novelty_rate"),
     )
-    k = budget_size(flagged.count(), budget_pct)
-    budget = _cohort_budget(rows, k)
+    pts = _curve(of_p, ["cohort"])
+    by_novelty = _ranking(_curve(of_novelty, ["cohort"]), ["cohort"]).select("cohort", F.col("roc_auc").alias("novelty_auroc"))
+    rows = flagged.select(F.explode(_cohort_names()).alias("cohort"), SEQ, "fraud_probability", "is_fraud")
+    budget = _group_budget(rows, pts.withColumn("_k", F.lit(k).cast("bigint")), "cohort")
     both = (F.col("n_fraud") > 0) & (F.col("n_fraud") < F.col("n_rows"))
-    joined = base.join(by_p, "cohort").join(by_novelty, "cohort").join(budget, "cohort")
+    joined = base.join(_ranking(pts, ["cohort"]), "cohort").join(by_novelty, "cohort").join(budget, "cohort")
     return joined.select(
         "cohort",
         "n_rows",
@@ -262,23 +284,21 @@ def cohort_report(flagged: DataFrame, budget_pct: float = 2.0) -> DataFrame:
     )
 
 
-def _cohort_budget(rows: DataFrame, k: int) -> DataFrame:
-    """Positives among the first k rows of every cohort by score, then row order."""
-    pts = curve_points(rows, "fraud_probability", ["cohort"])
+def _group_budget(rows: DataFrame, pts: DataFrame, by: str) -> DataFrame:
+    """(by, tp): positives among the first ``_k`` rows of every group by score, then row order."""
     start = F.col("alerted") - F.col("n")
-    above = pts.groupBy("cohort").agg(F.coalesce(F.sum(F.when(F.col("alerted") <= k, F.col("pos"))), F.lit(0)).alias("whole"))
-    edge = pts.filter((start < k) & (F.col("alerted") > k)).select(
-        F.col("cohort").alias("_cohort"), F.col("score").alias("_score"), (k - start).alias("_take")
+    whole = F.sum(F.when(F.col("alerted") <= F.col("_k"), F.col("pos")))
+    above = pts.groupBy(by).agg(F.coalesce(whole, F.lit(0)).alias("whole"))
+    edge = pts.filter((start < F.col("_k")) & (F.col("alerted") > F.col("_k"))).select(
+        F.col(by).alias("_group"), F.col("score").alias("_score"), (F.col("_k") - start).alias("_take")
     )
     tied = rows.join(
-        F.broadcast(edge),  # one row per cohort at most
-        (F.col("cohort") == F.col("_cohort")) & (F.round("fraud_probability", 4) == F.col("_score")),
-    ).select("cohort", SEQ, "is_fraud", "_take")
-    ranked = blockwise(tied, ["cohort"], {"_i": ("sum", F.lit(1).cast("bigint"))})
-    part = ranked.filter(F.col("_i") < F.col("_take")).groupBy("cohort").agg(F.sum("is_fraud").alias("part"))
-    return above.join(part, "cohort", "left").select(
-        "cohort", (F.col("whole") + F.coalesce("part", F.lit(0))).cast("bigint").alias("tp")
-    )
+        F.broadcast(edge),  # one row per group at most
+        (F.col(by) == F.col("_group")) & (F.round("fraud_probability", 4) == F.col("_score")),
+    ).select(by, SEQ, "is_fraud", "_take")
+    ranked = blockwise(tied, [by], {"_i": ("sum", F.lit(1).cast("bigint"))})
+    part = ranked.filter(F.col("_i") < F.col("_take")).groupBy(by).agg(F.sum("is_fraud").alias("part"))
+    return above.join(part, by, "left").select(by, (F.col("whole") + F.coalesce("part", F.lit(0))).cast("bigint").alias("tp"))
 
 
 def alert_metrics(scored: DataFrame, status: str = "budget_status") -> DataFrame:
@@ -330,36 +350,22 @@ def first_time_false_positives(flagged: DataFrame, status: str = "budget_status"
 def seen_unseen_split(flagged: DataFrame) -> DataFrame:
     """Ranking quality for seen and unseen customers; the 2 % budget is taken from the
     group itself. Single-class groups are left out."""
-    sizes = flagged.groupBy("unseen_customer").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("is_fraud").cast("bigint").alias("fraud")
-    )
+    group = ["unseen_customer"]
+    counts = materialise(scores_at(flagged, "fraud_probability", group), "counts")
+    sizes = counts.groupBy(*group).agg(F.sum("n").alias("rows"), F.sum("pos").alias("fraud"))
     # bround: halves go to the even number, as in the definition of k
     k = F.least(F.greatest(F.bround(F.col("rows") * F.lit(0.02)).cast("bigint"), F.lit(1)), F.col("rows"))
     sizes = sizes.withColumn("_k", k).filter((F.col("fraud") > 0) & (F.col("fraud") < F.col("rows")))
-    pts = curve_points(flagged, "fraud_probability", ["unseen_customer"]).drop("rows")
-    pts = pts.join(F.broadcast(sizes.select("unseen_customer", "_k")), "unseen_customer")
-    start = F.col("alerted") - F.col("n")
-    whole = pts.groupBy("unseen_customer").agg(
-        F.coalesce(F.sum(F.when(F.col("alerted") <= F.col("_k"), F.col("pos"))), F.lit(0)).alias("whole")
-    )
-    edge = pts.filter((start < F.col("_k")) & (F.col("alerted") > F.col("_k"))).select(
-        F.col("unseen_customer").alias("_g"), F.col("score").alias("_score"), (F.col("_k") - start).alias("_take")
-    )
-    tied = flagged.join(
-        F.broadcast(edge),
-        (F.col("unseen_customer") == F.col("_g")) & (F.round("fraud_probability", 4) == F.col("_score")),
-    ).select("unseen_customer", SEQ, "is_fraud", "_take")
-    ranked = blockwise(tied, ["unseen_customer"], {"_i": ("sum", F.lit(1).cast("bigint"))})
-    part = ranked.filter(F.col("_i") < F.col("_take")).groupBy("unseen_customer").agg(F.sum("is_fraud").alias("part"))
-    ranking = ranking_metrics(flagged, "fraud_probability", ["unseen_customer"])
-    joined = sizes.join(whole, "unseen_customer").join(part, "unseen_customer", "left").join(ranking, "unseen_customer")
+    pts = _curve(counts, group)
+    budget = _group_budget(flagged, pts.join(F.broadcast(sizes.select(*group, "_k")), group), group[0])
+    joined = sizes.join(budget, group).join(_ranking(pts, group), group)
     return joined.select(
         F.when(F.col("unseen_customer") == 1, "Unseen").otherwise("Seen").alias("cohort"),
         "rows",
         "fraud",
         F.round("pr_auc", 3).alias("pr_auc"),
         F.round("roc_auc", 3).alias("roc_auc"),
-        F.round((F.col("whole") + F.coalesce("part", F.lit(0))) / F.col("fraud"), 3).alias("recall_at_2pct"),
+        F.round(F.col("tp") / F.col("fraud"), 3).alias("recall_at_2pct"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnrisk.operators.metrics import exact_ranking_metrics
-from txnrisk.operators.ordering import value_counts_running
+from txnrisk.operators.ordering import spread_join, value_counts_running
 from txnrisk.settings import DEFAULTS, NOVELTY_FEATURES
 from txnrisk.sources.scratch import materialise
 
@@ -55,8 +55,7 @@ def ecdf_rank(
     share = (F.col("before_ref") + F.col("ref")) / F.lit(total)
     if orientation == "survival":
         share = 1.0 - share
-    ranks = counts.select(F.col("v").alias("_rank_v"), share.alias(name))
-    return rows.join(ranks, F.col("_v") == F.col("_rank_v"), "left").drop("_v", "_rank_v")
+    return spread_join(rows, counts.select(F.col("v").alias("_v"), share.alias(name)), "_v").drop("_v")
 
 
 MOST_BINS = 1 << 16

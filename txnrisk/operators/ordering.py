@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnrisk.sources.scratch import materialise
 
@@ -132,3 +133,26 @@ def value_counts_running(df: DataFrame, value: str, sums: dict[str, Column]) ->
     table = ordered_table(grouped, value, seq="_vseq")
     bases = {f"before_{name}": ("sum", F.col(name)) for name in sums}
     return blockwise(table, [], bases, "_vseq").drop("_vseq")
+
+
+def _spread_parts(df: DataFrame, parts: int) -> Column:
+    """A part of each row that depends on the row alone: its block, or a hash of its plain columns."""
+    if SEQ in df.columns:
+        return block_of()
+    plain = [F.col(f"`{f.name}`") for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    return F.pmod(F.xxhash64(*plain), F.lit(parts))
+
+
+def spread_join(df: DataFrame, table: DataFrame, key: str, how: str = "left", parts: int = 64) -> DataFrame:
+    """Join ``df`` with ``table`` (one row per key) so that no key of ``df`` lands in one task, however frequent.
+
+    The distinct (key, part) pairs of ``df`` are joined first: as many as a key has parts. The rows then meet
+    their pair by key and part. ``how`` is left, left_semi or left_anti. A null key meets nothing.
+    """
+    rows = df.withColumn("_part", _spread_parts(df, parts))
+    pairs = rows.select(F.col(key).alias("_pair_key"), F.col("_part").alias("_pair_part")).distinct()
+    found = pairs.join(table.withColumnRenamed(key, "_table_key"), F.col("_pair_key") == F.col("_table_key")).drop("_table_key")
+    on = (F.col(key) == F.col("_pair_key")) & (F.col("_part") == F.col("_pair_part"))
+    joined = rows.join(found, on, how)
+    added = [c for c in table.columns if c != key] if how == "left" else []
+    return joined.select(*df.columns, *added)

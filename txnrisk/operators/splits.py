@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from txnrisk.functions import columns as C
 from txnrisk.operators.asof import TxnLog
-from txnrisk.operators.ordering import ordered_table, with_row_index
+from txnrisk.operators.ordering import ordered_table, spread_join, with_row_index
 from txnrisk.settings import DEFAULTS
 
 
@@ -36,13 +36,14 @@ def holdout_customers(rows: DataFrame, frac: float = DEFAULTS.unseen_customer_fr
 
 def without_holdout(folds: DataFrame, holdout: DataFrame) -> DataFrame:
     """Held-out customers leave the training fold only."""
-    marked = folds.join(holdout.withColumn("_held", F.lit(True)), "customer_id", "left")
+    marked = spread_join(folds, holdout.withColumn("_held", F.lit(True)), "customer_id")
     keep = (F.col("fold") != "train") | F.col("_held").isNull()
     return marked.filter(keep).select(*folds.columns)
 
 
 def members(df: DataFrame, ids: DataFrame, key: str, inside: bool = True) -> DataFrame:
-    return df.join(ids.select(key), key, "left_semi" if inside else "left_anti")
+    """Rows whose key is among ``ids``, or isn't."""
+    return spread_join(df, ids.select(key).distinct(), key, "left_semi" if inside else "left_anti")
 
 
 def union_folds(*folds: DataFrame) -> DataFrame:
