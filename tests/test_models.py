@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -130,6 +131,22 @@ def test_a_deep_path_is_attributed_without_its_2_to_the_d_patterns():
     assert got == pytest.approx([-nothing, -nothing, 2.0 - nothing], rel=1e-9)
 
 
+def test_boosting_keeps_the_best_prefix(table):
+    """Patience decides how many rounds are tried, and the rounds up to the lowest validation loss are kept."""
+    train, val = table.filter("ts_sec < 600"), table.filter("ts_sec >= 600")
+    size = M.TreeParams(boost_rounds=40, boost_depth=3, boost_leaf=10, boost_step=0.5, boost_patience=3)
+    model = M.fit_boosting(train, val, FEATURES, size).stages[-1]
+    every = M.fit_boosting(train, val, FEATURES, replace(size, boost_patience=1000))
+    losses = M.fit_boosting(train, train, FEATURES, replace(size, boost_rounds=19)).stages[-1]
+    assert losses.getNumTrees == 19  # on its own rows the loss only falls
+    held = M._weighted(M.assembled(val, FEATURES), M.class_weights(train).first().sqrt_weight, 1.0)
+    found = losses.evaluateEachIteration(held)
+    best = min(range(19), key=found.__getitem__) + 1
+    assert model.getNumTrees == best < 16
+    assert every.stages[-1].getNumTrees == best
+    assert model.evaluateEachIteration(held) == pytest.approx(found[:best], rel=1e-9)
+
+
 def test_packed_leaves_add_up_whatever_the_groups():
     rng = np.random.default_rng(3)
     leaves = []

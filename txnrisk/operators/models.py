@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -31,6 +31,8 @@ class TreeParams:
     boost_depth: int = 6
     boost_leaf: int = 80
     boost_step: float = 0.08
+    boost_patience: int = 80
+    boost_bins: int = 255
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -71,12 +73,21 @@ def fit_logistic(train: DataFrame, features: list[str] = MODEL_FEATURES, c: floa
     return PipelineModel([VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), scaler, fit])
 
 
+def _checkpoints(df: DataFrame) -> None:
+    """A folder for the checkpoints that cut the lineage of many rounds and levels."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_root(df.sparkSession))
+
+
 def fit_forest(train: DataFrame, features: list[str] = MODEL_FEATURES, size: TreeParams = TreeParams(), seed: int = DEFAULTS.seed) -> PipelineModel:
     w = class_weights(train).first()
     rows = _weighted(assembled(train, features), w.balanced_pos, w.balanced_neg)
+    _checkpoints(train)
+    # deep trees: rows remember their node of each tree instead of walking down to it for every group of nodes
     fit = RandomForestClassifier(
         featuresCol="features", labelCol=LABEL, weightCol=WEIGHT, numTrees=size.forest_trees,
-        maxDepth=size.forest_depth, minInstancesPerNode=size.forest_leaf, seed=seed,
+        maxDepth=size.forest_depth, minInstancesPerNode=size.forest_leaf, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024,
     ).fit(rows)
     return PipelineModel([VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), fit])
 
@@ -85,18 +96,32 @@ def fit_boosting(
     train: DataFrame, val: DataFrame, features: list[str] = MODEL_FEATURES, size: TreeParams = TreeParams(),
     seed: int = DEFAULTS.seed,
 ) -> PipelineModel:
-    """Boosted trees with the square-root class weight; rounds stop early on ``val``."""
+    """Boosted trees with the square-root class weight, cut after the round with the lowest loss on ``val``.
+
+    Rounds are added until ``boost_patience`` of them brought no lower loss. A round depends on those before it only, so
+    more rounds are fitted from the start, each time twice as many, and the best number of them once more.
+    """
     w = class_weights(train).first()
-    both = train.withColumn("_held", F.lit(False)).unionByName(val.withColumn("_held", F.lit(True)))
-    rows = _weighted(assembled(both, features), w.sqrt_weight, 1.0)
-    context = train.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # cuts the lineage of hundreds of rounds
-        context.setCheckpointDir(scratch_root(train.sparkSession))
-    fit = GBTClassifier(
-        featuresCol="features", labelCol=LABEL, weightCol=WEIGHT, validationIndicatorCol="_held",
-        maxIter=size.boost_rounds, maxDepth=size.boost_depth, stepSize=size.boost_step,
-        minInstancesPerNode=size.boost_leaf, subsamplingRate=0.9, featureSubsetStrategy="0.8", seed=seed,
-    ).fit(rows)
+    rows, held = (_weighted(assembled(df, features), w.sqrt_weight, 1.0) for df in (train, val))
+    _checkpoints(train)
+
+    def fitted(rounds: int) -> GBTClassificationModel:
+        return GBTClassifier(
+            featuresCol="features", labelCol=LABEL, weightCol=WEIGHT, maxIter=rounds, maxDepth=size.boost_depth,
+            stepSize=size.boost_step, minInstancesPerNode=size.boost_leaf, subsamplingRate=0.9, featureSubsetStrategy="0.8",
+            maxBins=size.boost_bins, cacheNodeIds=True, seed=seed,
+        ).fit(rows)
+
+    rounds = min(size.boost_rounds, size.boost_patience + 16)
+    while True:
+        fit = fitted(rounds)
+        losses = fit.evaluateEachIteration(held)
+        best = min(range(rounds), key=losses.__getitem__) + 1
+        if rounds == size.boost_rounds or best + size.boost_patience <= rounds:
+            break
+        rounds = min(2 * rounds, size.boost_rounds)
+    if best < rounds:
+        fit = fitted(best)
     return PipelineModel([VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), fit])
 
 
