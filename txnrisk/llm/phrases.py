@@ -184,10 +184,14 @@ def _path_counts(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     sums[size - 2] += n
             del path[depth:], sums[depth:]
 
-        edge = 0  # words of the open path that began with the part itself
+        edge, last = 0, None  # words of the open path that began with the part itself; the window before
         for batch in batches:
             langs, phrases, counts = (batch.column(i).to_pylist() for i in range(3))
             for lang, phrase, n in zip(langs, phrases, counts, strict=True):
+                if phrase == last and lang == open_lang:  # the same window from another part of the corpus
+                    sums[-1] += n
+                    continue
+                last = phrase
                 words = phrase.split(b" ")
                 words.pop()
                 depth = 0
