@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -66,15 +67,10 @@ class Encoder:
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self._forget()
 
-    def _forget(self, still: set[bytes] = frozenset()) -> None:
-        """Drop what is known but for ``still``, the chunks that are in use: frequent ones are always among them."""
-        kept = [c for c in still if c in self.known]
-        ids, lengths = self._gather(np.array([self.known[c] for c in kept], np.int64)) if kept else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.starts = np.zeros(1, np.int64)  # of the known chunks in flat, and its end
         self.flat = np.zeros(0, np.uint32)
-        if kept:
-            self._keep(kept, ids, lengths)
 
     def _keep(self, names: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.known)
@@ -121,17 +117,17 @@ class Encoder:
         """All ids one after the other, and the number of ids of each text."""
         cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
         counts = np.array([len(c) for c in cut], np.int64)
-        chunks = list(chain.from_iterable(cut))
+        flat = np.empty(counts.sum(), object)
+        flat[:] = list(chain.from_iterable(cut))
         del cut
-        distinct = set(chunks)
+        codes, distinct = pd.factorize(flat)
+        del flat
         if len(self.known) + len(distinct) > self.remember:
-            self._forget(distinct)
+            self._forget()
         known = self.known
         if new := [c for c in distinct if c not in known]:
             self._learn(new)
-        del distinct
-        place = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-        del chunks
+        place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[codes]
         ids, lengths = self._gather(place)
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
