@@ -42,7 +42,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_token_output(spark, sf_dir):
-    return tokens.tokenized(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return tokens.tokenized(_table(spark, sf_dir, "documents"), WORD_TOKENIZER, slice_bytes=4 << 20)
 
 
 @query

@@ -152,10 +152,12 @@ def with_end(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray
 
 
 def write_shards(
-    docs: DataFrame, tokenizer: str, order: list[Column] | None = None, end: int = 2, folder: str | None = None
+    docs: DataFrame, tokenizer: str, order: list[Column] | None = None, end: int = 2, folder: str | None = None,
+    slice_bytes: int = SLICE,
 ) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write the shards in ascending ``order`` (doc_id if not given), then
-    text; returns the manifest, one row per shard."""
+    text; returns the manifest, one row per shard. A task works on ``slice_bytes`` of text at a time: more cost
+    memory and save time."""
     folder = folder or fresh_folder(docs.sparkSession, "tokens")
     order = order or [F.col("doc_id")]
     keys = [f"_order{i}" for i in range(len(order))]
@@ -171,7 +173,7 @@ def write_shards(
         shard = TaskContext.get().partitionId()
         name = f"{folder}/part-{shard:06d}.pfor"
         encode, out, writer = _encoder(tokenizer), None, None
-        for batch, texts in slices(batches, "text", SLICE):
+        for batch, texts in slices(batches, "text", slice_bytes):
             if writer is None:
                 out = AtomicFile(name)
                 writer = pfor.ShardWriter(out)
@@ -238,6 +240,6 @@ def positions(manifest: DataFrame) -> DataFrame:
     return read.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "shard", "nth")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, order: list[Column] | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, order: list[Column] | None = None, slice_bytes: int = SLICE) -> DataFrame:
     """Write ``docs`` as token shards and return every document's digest as read back from them."""
-    return positions(write_shards(docs, tokenizer, order))
+    return positions(write_shards(docs, tokenizer, order, slice_bytes=slice_bytes))
