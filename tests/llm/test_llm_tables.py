@@ -288,5 +288,5 @@ def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
 
 
 def test_all_queries_are_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
