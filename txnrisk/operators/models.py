@@ -87,7 +87,7 @@ def fit_forest(train: DataFrame, features: list[str] = MODEL_FEATURES, size: Tre
     # deep trees: rows remember their node of each tree instead of walking down to it for every group of nodes
     fit = RandomForestClassifier(
         featuresCol="features", labelCol=LABEL, weightCol=WEIGHT, numTrees=size.forest_trees,
-        maxDepth=size.forest_depth, minInstancesPerNode=size.forest_leaf, seed=seed, cacheNodeIds=True, maxMemoryInMB=1024,
+        maxDepth=size.forest_depth, minInstancesPerNode=size.forest_leaf, seed=seed, cacheNodeIds=True,
     ).fit(rows)
     return PipelineModel([VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), fit])
 
