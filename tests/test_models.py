@@ -6,6 +6,7 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from txnrisk.operators import attribution as A
@@ -266,3 +267,17 @@ def test_gaussian_deviation_ignores_constant_features(spark):
     fit = N.fit_gaussian(df, ["a", "b"])
     got = [r[0] for r in df.select(N.gaussian_deviation(fit)).collect()]
     assert got == pytest.approx([1.0, 1.0])
+
+
+@pytest.mark.parametrize("name", ["logistic", "forest", "platt"])
+def test_models_score_in_a_session_that_observed_rows(spark, table, name):
+    seen = Observation("seen")
+    table.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 900
+    fits = {
+        "logistic": lambda: M.with_raw_probability(M.fit_logistic(table, FEATURES), table),
+        "forest": lambda: M.with_raw_probability(M.fit_forest(table, FEATURES, SMALL), table),
+        "platt": lambda: M.fit_platt(table, "c").transform(table, "c", "raw_probability"),
+    }
+    scores = [r.raw_probability for r in fits[name]().collect()]
+    assert len(scores) == 900 and all(0.0 <= p <= 1.0 for p in scores)
