@@ -321,6 +321,29 @@ def test_salvage_recovers_later_records(compressed):
     assert [f[1] for f in found if f[2] is None][0] == 4
 
 
+def test_a_window_is_read_once_for_all_its_records():
+    data = b"".join(archive([b"x" * 50 * i for i in range(60)]))
+    asked = []
+
+    class Counting(Source):
+        def read_at(self, n, offset):
+            asked.append(n)
+            return super().read_at(n, offset)
+
+    found = list(warc.salvage(Counting(data), window=len(data) // 4))
+    assert len(found) == 60 and all(f[2] for f in found)
+    assert sum(asked) <= 2 * len(data)
+
+
+@pytest.mark.parametrize("window", [11, 64, 1 << 12])
+def test_long_records_and_gaps_in_any_window(window):
+    payloads = [random.Random(i).randbytes(30_000 * (i % 3)) for i in range(5)]
+    parts = archive(payloads)
+    found = read(b"".join([*parts[:2], b"WARC/1.1", parts[2], b"\x1f\x8b", *parts[3:]]), window)
+    assert [f[2].payload for f in found if f[2]] == payloads
+    assert [f[1] for f in found if f[2] is None] == [8, 2]
+
+
 def test_digest_is_bare_base32():
     assert warc.digest(b"a") == base64.b32encode(hashlib.sha1(b"a").digest()).decode()
 

@@ -40,6 +40,9 @@ _STARTS = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.\d+\r\n")
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space
 
 ARCHIVES = "archive int, path string, n_records bigint"
+#: Bytes of an archive that the reader decompresses at a time.
+PIECE = 1 << 14
+
 RECORDS = (
     "path string, offset bigint, length bigint, kind string, reason string, page_id bigint, payload_bytes bigint, "
     "payload_digest string, record_type string, refers_to bigint, url string, payload binary"
@@ -167,50 +170,57 @@ def _plain(data: bytes) -> Record:
     return found
 
 
-def parse(data: bytes) -> Record:
+def parse(data: bytes | memoryview) -> Record:
     """The record, compressed or plain, at the start of ``data``; Cut if more bytes could help."""
-    if not data.startswith(GZIP):
+    if data[:3] != GZIP:
         if len(data) < 3:
             raise Cut
-        return _plain(data)
-    z = zlib.decompressobj(31)
+        return _plain(bytes(data))
+    z, view, parts, fed = zlib.decompressobj(31), memoryview(data), [], 0
     try:
-        text = z.decompress(data)
+        while not z.eof and fed < len(view):  # in pieces: what follows the member is copied at each end
+            parts.append(z.decompress(view[fed : fed + PIECE]))
+            fed += PIECE
     except zlib.error as e:
         raise Invalid(f"gzip: {e}") from None
     if not z.eof:
         raise Cut
+    text = b"".join(parts)
     try:
         found = _plain(text)
     except Cut:
         raise Invalid("the member ends before its record") from None
     if found.length != len(text):
         raise Invalid("a member with more than one record")
-    return Record(found.headers, found.block, len(data) - len(z.unused_data))
+    return Record(found.headers, found.block, min(fed, len(data)) - len(z.unused_data))
 
 
 def salvage(source, window: int = 4 << 20, most: int = 1 << 30) -> Iterator[tuple[int, int, Record | None, str]]:
     """(offset, length, record, reason): records, or None with the reason for a gap. ``source`` has read_at(n, offset)
-    and size(). The window doubles only while a record needs it, up to ``most`` bytes for one record."""
+    and size(). A window is read once for all records that lie in it whole. It doubles only while a record needs it, up to ``most`` bytes for one record."""
     size, at, gap, why = source.size(), 0, -1, ""
     held, start = b"", 0
     while at < size:
         want = window
         while True:
-            if at < start or at + min(want, size - at) > start + len(held):
+            if not start <= at < start + len(held):
                 held, start = source.read_at(min(want, size - at), at), at
-            data = held[at - start :]
+            data = memoryview(held)[at - start :]  # no copy of the window for each record
+            whole = len(data) >= min(want, size - at)
             try:
                 found = parse(data)
                 break
             except Cut:
-                if at + len(data) >= size or want >= most:
+                if whole and (at + len(data) >= size or want >= most):
                     found, reason = None, "cut short"
                     break
-                want = max(2 * want, 2 * len(data))
+                if whole:
+                    want = max(2 * want, 2 * len(data))
             except Invalid as e:
-                found, reason = None, str(e)
-                break
+                if whole:
+                    found, reason = None, str(e)
+                    break
+            held = b""  # the rest of the window was too short for a judgement
         if found is not None:
             if gap >= 0:
                 yield gap, at - gap, None, why
