@@ -383,3 +383,28 @@ def test_index_is_exact(n, k):
     for i in range(len(queries)):
         order = np.lexsort((np.arange(len(codes)), every[i]))[:k]
         assert at[q == i].tolist() == order.tolist() and distance[q == i].tolist() == every[i][order].tolist()
+
+
+def test_a_context_is_looked_up_once_for_all_its_pairs(monkeypatch, tmp_path):
+    from txnrisk.llm import eliasfano, lm
+
+    n = 40
+    model = lm.Model(str(tmp_path), 0, [n], 1000)
+    asked, access = [], eliasfano.EliasFano.access
+    for part in range(lm.PARTS):
+        keys = np.array([c * n + w for c in range(n) for w in range(part, n, lm.PARTS)], np.uint64)
+        pairs = lm._sequence("pairs", eliasfano.EliasFano.of(keys, n * n))
+        pointers = lm._sequence("pointers", eliasfano.EliasFano.of(np.arange(n + 1) * (n // lm.PARTS), len(keys) + 1))
+        share = (keys % 7 + 1) / 10
+        lm.save(f"{tmp_path}/pairs-0-{part}", pairs[0] | pointers[0], pairs[1] | pointers[1] | {"q": lm.quantised(share)})
+
+    def counting(self, i):
+        asked.append(len(i))
+        return access(self, i)
+
+    monkeypatch.setattr(eliasfano.EliasFano, "access", counting)
+    context, word = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
+    found = model.following(context, word)
+    assert np.allclose(found, ((context * n + word) % 7 + 1) / 10, rtol=1e-3)
+    # two pointers a context and part, one value a pair
+    assert sum(asked) == 2 * n * lm.PARTS + n * n

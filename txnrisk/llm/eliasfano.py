@@ -42,6 +42,13 @@ def unpacked(words: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
     return (low | high) & _U((1 << bits) - 1)
 
 
+def _descend(counts: np.ndarray, rest: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of eight counts in a column, which one holds the ``rest``-th (from 0), and what is left of ``rest`` there."""
+    sums = np.cumsum(counts, axis=0, dtype=np.uint16)
+    place = np.add.reduce(sums <= rest, axis=0, dtype=np.uint8).astype(np.int64)
+    return place, rest - np.where(place > 0, sums[place - 1, each], np.uint16(0))
+
+
 class EliasFano:
     """``values`` ascending, below ``universe`` (at most 2^64)."""
 
@@ -72,19 +79,16 @@ class EliasFano:
         """Place of the k-th (from 0) one or zero."""
         directory = self.ones if ones else self.zeros
         block = np.searchsorted(directory, k, side="right") - 1
-        rest = k - directory[block]
-        words = self.high[(block * 8)[:, None] + np.arange(8)]
+        rest = (k - directory[block]).astype(np.uint16)
+        # a row of eight arrays for each step: sums then run along whole arrays, in narrow numbers
+        words = self.high[block * 8 + np.arange(8)[:, None]]
         if not ones:
             words = ~words
-        sums = np.cumsum(np.bitwise_count(words).astype(np.int64), axis=1)
-        word = (sums <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest = rest - np.where(word > 0, sums[row, word - 1], 0)
-        octets = np.ascontiguousarray(words[row, word]).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(_POP8[octets], axis=1)
-        octet = (sums <= rest[:, None]).sum(axis=1)
-        rest = rest - np.where(octet > 0, sums[row, octet - 1], 0)
-        return block * 512 + word * 64 + octet * 8 + _SELECT8[octets[row, octet], rest]
+        each = np.arange(len(k))
+        word, rest = _descend(np.bitwise_count(words), rest, each)
+        octets = np.ascontiguousarray(words[word, each].view(np.uint8).reshape(-1, 8).T)
+        octet, rest = _descend(_POP8[octets], rest, each)
+        return block * 512 + word * 64 + octet * 8 + _SELECT8[octets[octet, each], rest]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)

@@ -65,7 +65,7 @@ def load(path: str) -> tuple[dict, dict[str, np.ndarray]]:
     """Arrays of a saved file: mapped where the file is on a mounted file system, else read."""
     fs, inner = opened(path)
     if type(fs).__name__ == "LocalFileSystem":
-        raw = np.memmap(inner, np.uint8, "r")
+        raw = np.asarray(np.memmap(inner, np.uint8, "r"))  # plain arrays: a memmap costs time at every index
     else:
         with fs.open_input_file(inner) as source:
             raw = np.frombuffer(source.read(), np.uint8)
@@ -242,7 +242,10 @@ class Model:
             i = seen[at]
             local = context[i] - self.base[s]
             pointers = _restored("pointers", *pairs)
-            first, last = (pointers.access(x).astype(np.int64) for x in (local, local + 1))
+            # pairs come by context: each is looked up once
+            heads = np.concatenate([[True], local[1:] != local[:-1]])
+            once, nth = local[heads], np.cumsum(heads) - 1
+            first, last = (pointers.access(x).astype(np.int64)[nth] for x in (once, once + 1))
             key = local.astype(np.uint64) * np.uint64(self.distinct) + word[i].astype(np.uint64)
             found = _restored("pairs", *pairs).find(key, first, last)
             hit = found >= 0
