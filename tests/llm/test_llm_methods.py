@@ -66,6 +66,23 @@ def test_encoder_equals_the_library():
         assert ids.tolist() == list(itertools.chain.from_iterable(want))
 
 
+def test_the_tokenizer_gets_bounded_texts(monkeypatch):
+    monkeypatch.setattr(tokens, "TOGETHER", 100)
+    encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000))
+    sizes = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            sizes.extend(len(t.split()) for t in texts)
+            return library.encode_batch_fast(texts, **options)
+
+    library, encode.tokenizer = encode.tokenizer, Counting()
+    ids, lengths = encode.encode([text.encode()])
+    assert ids.tolist() == library.encode(text, add_special_tokens=False).ids and lengths.tolist() == [len(ids)]
+    assert sum(sizes) == 2000 and max(sizes) == 100
+
+
 # ------------------------------------------------------------------ mixing
 @pytest.mark.parametrize("seed", range(8))
 def test_pfair_deviation_is_less_than_a_block(seed):

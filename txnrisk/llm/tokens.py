@@ -33,6 +33,8 @@ MANIFEST = "shard int, path string, n_docs bigint, n_ids bigint"
 READ = "doc_id bigint, shard int, nth int, offset bigint, n_tokens bigint, ids_crc32 bigint"
 #: Distinct chunks of text whose ids a task remembers.
 REMEMBERED = 300_000
+#: Plain words that go through the tokenizer together: it needs some 200 bytes a letter for them.
+TOGETHER = 8192
 #: Bytes of text that a task cuts into chunks at a time.
 SLICE = 2 << 20
 
@@ -57,7 +59,8 @@ class Encoder:
     chunks one by one.
     """
 
-    PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,!$%&*#|]*)")
+    #: The plain word and the punctuation of each chunk of a joined list, nothing where a chunk isn't of this form.
+    PARTS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])++)([.,!$%&*#|]*+)(?!\S)|\S+")
 
     def __init__(self, path: str, remember: int = REMEMBERED):
         self.tokenizer = _tokenizer(path)
@@ -81,20 +84,21 @@ class Encoder:
     def _learn(self, chunks: list[bytes]) -> None:
         """Chunks that aren't known yet."""
         known, words, tailed, other = self.known, set(), [], []
-        for chunk in chunks:
-            m = self.PLAIN.fullmatch(chunk)
-            if m is None:
+        for chunk, (word, tail) in zip(chunks, self.PARTS.findall(b" ".join(chunks)), strict=True):
+            if not word:
                 other.append(chunk)
                 continue
-            word, tail = m.groups()
             if word not in known:
                 words.add(word)
             if tail:
                 tailed.append((chunk, word, tail))
         other += {tail for _, _, tail in tailed if tail not in known}
-        if words:
-            plain = list(words)
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        plain, found = list(words), []
+        for at in range(0, len(plain), TOGETHER):
+            text = b" ".join(plain[at : at + TOGETHER]).decode()
+            found.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32))
+        if plain:
+            ids = np.concatenate(found)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(plain):
                 raise ValueError("this tokenizer doesn't encode plain words one by one")
