@@ -63,17 +63,20 @@ def test_lines_move_once_and_in_pieces_that_a_task_can_sort(spark, tmp_path, mon
     assert log.rows.select(ordering.block_of()).distinct().count() > 4
 
 
-def test_history_is_the_same_in_more_partitions(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("heavy_limit", [10, 1_000_000])
+def test_history_is_the_same_in_more_partitions(spark, tmp_path, monkeypatch, heavy_limit):
     folder = _folder(spark, tmp_path)
     rows = tables.line_transactions(spark, folder)
-    few = asof.TxnLog.build(rows)
+    few = asof.TxnLog.build(rows, heavy_limit=heavy_limit)
     monkeypatch.setattr(ordering, "TASK_ROWS", 20)
-    many = asof.TxnLog.build(rows)
+    many = asof.TxnLog.build(rows, heavy_limit=heavy_limit)
     assert few.parts is None and many.parts > 4
     x = {"n": ("count", None), "m": ("mean", F.col("amount"))}
     for log in (few, many):
         both = asof.history(log, asof.customer_activity(log, log.rows), "merchant_id", x)
         kept = sorted(tuple(r) for r in both.select("transaction_id", "n", "m", "customer_history_count", "txn_count_24h", "amount_sum_24h").collect())
+        plan = asof.running_global(log, log.rows)._jdf.queryExecution().executedPlan().toString()
+        assert ("REPARTITION_BY_NUM" in plan) == (log is many)
         if log is few:
             first = kept
     assert kept == first
