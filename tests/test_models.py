@@ -222,6 +222,28 @@ def test_rank_index_equals_the_exact_rank(spark, bin_size):
         N.RankIndex.fit(ecdf.limit(0))
 
 
+def test_isolation_scores_equal_a_walk_of_every_row():
+    rng = np.random.default_rng(3)
+    nodes = [(t, k, *n) for t, size in enumerate((60, 2, 1, 33)) for k, n in enumerate(N._grow(rng.integers(0, 5, (size, 3)).astype(float), rng, 6))]
+    nodes = pd.DataFrame(nodes, columns=[c.split()[0] for c in N.NODE_SCHEMA.split(", ")])
+    points = rng.integers(-1, 7, (50, 3)).astype(float)
+    want = []
+    for x in points:
+        shares = []
+        for _, part in nodes.groupby("tree"):
+            table = part.set_index("node")
+            node = table.loc[0]
+            while node.feature >= 0:
+                node = table.loc[node.low if x[int(node.feature)] <= node.threshold else node.high]
+            norm = N._expected_depth(table["size"][0])
+            shares.append((node.depth + N._expected_depth(node["size"])) / norm if norm > 0 else 1.0)
+        want.append(2.0 ** -np.mean(shares) - 0.5)
+    walks = N._walks(nodes.sample(frac=1, random_state=1))
+    np.testing.assert_allclose(N._deviations(walks, points), want, rtol=1e-12)
+    assert len(N._deviations(walks, points[:0])) == 0
+    assert max(w.low.nbytes for w in walks) <= 8 * 2 * 60  # a tree at a time, not rows x trees
+
+
 def test_isolation_forest_finds_the_odd_rows(spark, table):
     odd = spark.createDataFrame([("O1", 9.0, 9.0, 5.0), ("O2", -8.0, -5.0, -3.0)], "transaction_id string, a double, b double, c double")
     forest = N.fit_isolation_forest(table, features=FEATURES, trees=40, sample=128)

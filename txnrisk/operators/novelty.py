@@ -160,6 +160,48 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
     return [tuple(n) for n in nodes]
 
 
+@dataclass(frozen=True)
+class _Walk:
+    """One tree for walking down: the high child of a node follows its low one, and a leaf is its own low child."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    low: np.ndarray
+    path: np.ndarray  # depth and expected depth below
+    levels: int
+    norm: float  # a root's size is what its tree was grown from
+
+
+def _walks(nodes: pd.DataFrame) -> list[_Walk]:
+    out = []
+    for _, part in nodes.sort_values(["tree", "node"]).groupby("tree"):
+        feature, low, high, size = (part[c].to_numpy() for c in ("feature", "low", "high", "size"))
+        inner = feature >= 0
+        old = np.concatenate([[0], np.stack([low[inner], high[inner]], axis=1).ravel()])  # new place -> node
+        new = np.empty(len(old), np.int64)
+        new[old] = np.arange(len(old))
+        child = np.where(inner, new[np.where(inner, low, 0)], new)[old]
+        path = part["depth"].to_numpy() + _expected_depth(size)
+        out.append(_Walk(
+            np.where(inner, feature, 0)[old], np.where(inner, part["threshold"].to_numpy(), np.inf)[old], child, path[old],
+            int(part["depth"].max()), float(_expected_depth(size[0])),
+        ))
+    return out
+
+
+def _deviations(walks: list[_Walk], points: np.ndarray) -> np.ndarray:
+    """All rows go down one tree after the other, whose table stays in the processor's cache."""
+    share = np.ones((len(points), len(walks)))
+    flat, base = points.ravel(), np.arange(len(points)) * points.shape[1]
+    for i, t in enumerate(walks):
+        at = np.zeros(len(points), np.int64)
+        for _ in range(t.levels):
+            at = t.low[at] + (flat[base + t.feature[at]] > t.threshold[at])
+        if t.norm > 0:
+            share[:, i] = t.path[at] / t.norm
+    return 2.0 ** -share.mean(axis=1) - 0.5
+
+
 @dataclass(frozen=True)
 class IsolationForest:
     """Node table of the forest; its size depends on trees x sample only."""
@@ -174,37 +216,11 @@ class IsolationForest:
     def deviation(self, spark) -> Column:
         """Anomaly axis, higher = more unusual: 2^(-mean of depth / expected) - 0.5, the
         expected depth by the sample of each tree."""
-        nodes = self.nodes.sort_values(["tree", "node"])
-        starts = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
-        offset = nodes["tree"].map(starts).to_numpy()
-        leaf = nodes["feature"].to_numpy() < 0
-        own = np.arange(len(nodes))
-        shared = spark.sparkContext.broadcast(
-            {
-                "roots": starts.to_numpy(),
-                "feature": np.where(leaf, 0, nodes["feature"].to_numpy()),
-                "threshold": np.where(leaf, np.inf, nodes["threshold"].to_numpy()),
-                "low": np.where(leaf, own, nodes["low"].to_numpy() + offset),
-                "high": np.where(leaf, own, nodes["high"].to_numpy() + offset),
-                "path": nodes["depth"].to_numpy() + _expected_depth(nodes["size"].to_numpy()),
-                "levels": int(nodes["depth"].max()),
-                # a root's size is what its tree was grown from
-                "norm": _expected_depth(nodes.loc[nodes["node"] == 0, "size"].to_numpy()),
-            }
-        )
+        shared = spark.sparkContext.broadcast(_walks(self.nodes))
 
         @F.pandas_udf("double")
         def score(x: pd.DataFrame) -> pd.Series:
-            t = shared.value
-            points = np.nan_to_num(x.to_numpy(dtype=float))
-            rows = np.arange(len(points))[:, None]
-            at = np.broadcast_to(t["roots"], (len(points), len(t["roots"]))).copy()
-            for _ in range(t["levels"]):
-                goes_low = points[rows, t["feature"][at]] <= t["threshold"][at]
-                at = np.where(goes_low, t["low"][at], t["high"][at])
-            path = t["path"][at]
-            share = np.divide(path, t["norm"], out=np.ones_like(path), where=t["norm"] > 0)
-            return pd.Series(2.0 ** -share.mean(axis=1) - 0.5)
+            return pd.Series(_deviations(shared.value, np.nan_to_num(x.to_numpy(dtype=float))))
 
         return score(F.struct(*[F.col(f).cast("double").alias(f) for f in self.features]))
 
