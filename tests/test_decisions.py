@@ -109,3 +109,13 @@ def test_linear_contributions_add_up(spark):
     df = df.withColumn("m", reasons.linear_margin(weights, 0.7))
     r = df.first()
     assert sum(r.c) + (0.7 + 2.0 * 0.2 - 0.5 * 1.0) == pytest.approx(r.m)
+
+
+def test_single_features_are_worded_once_they_are_chosen(spark):
+    values = [0.3, None, -0.5, 0.0, 0.3] + [0.01 * i for i in range(35)]
+    df = spark.createDataFrame([(values,)], "contributions array<double>")
+    rows = reasons.with_reasons(df, grouped=False, k=4)
+    top = rows.first()["top_contributing_features"]
+    assert [r["reason"] for r in top] == ["contrib -0.500", "contrib +0.340", "contrib +0.330"]  # a missing one takes a place
+    plan = rows.select("top_contributing_features")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 1

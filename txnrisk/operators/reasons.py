@@ -115,17 +115,20 @@ def with_reasons(
             )
             for i, g in enumerate(sums)
         ]
+
+        def reason(e: Column) -> Column:
+            return e["reason"]
     else:
         rows = df
         entries = []
         for i, f in enumerate(features):
             c = F.element_at(contributions, i + 1)
             entries.append(
-                F.struct(
-                    (-F.abs(c)).alias("size"), F.lit(i).alias("place"), F.lit(f).alias("feature"),
-                    c.alias("value"), F.format_string("contrib %+.3f", c).alias("reason"),
-                )
+                F.struct((-F.abs(c)).alias("size"), F.lit(i).alias("place"), F.lit(f).alias("feature"), c.alias("value"))
             )
+
+        def reason(e: Column) -> Column:  # written for the features that are shown, not for all
+            return F.format_string("contrib %+.3f", e["value"])
     strongest = F.slice(F.array_sort(F.array(*entries)), 1, k)
     shown = F.filter(strongest, lambda e: -e["size"] >= SMALLEST)
     reasons = F.transform(
@@ -134,7 +137,7 @@ def with_reasons(
             e["feature"].alias("feature"),
             _effect(e["value"]).alias("effect"),
             F.round(e["value"], 4).alias("contribution"),
-            e["reason"].alias("reason"),
+            reason(e).alias("reason"),
         ),
     )
     top = F.col("top_contributing_features")
