@@ -66,6 +66,21 @@ def test_encoder_equals_the_library():
         assert ids.tolist() == list(itertools.chain.from_iterable(want))
 
 
+def test_a_full_encoder_keeps_the_chunks_that_most_calls_met():
+    encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), remember=120)
+    common, emptied = b"the river, runs to the sea.", 0
+    for i in range(40):
+        rare = b" ".join(bytes([97 + i % 26, 97 + i // 26, 97 + j]) for j in range(20))
+        before = len(encode.known)
+        ids, lengths = encode.encode([rare if i % 3 else common + b" " + rare])
+        want = encode.tokenizer.encode((rare if i % 3 else common + b" " + rare).decode(), add_special_tokens=False).ids
+        assert ids.tolist() == want and lengths.tolist() == [len(want)]
+        emptied += i % 3 > 0 and len(encode.known) < before
+        assert len(encode.known) <= 120 + 30
+        assert set(common.split()) <= set(encode.known)
+    assert emptied
+
+
 def test_the_tokenizer_gets_bounded_texts(monkeypatch):
     monkeypatch.setattr(tokens, "TOGETHER", 100)
     encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))

@@ -12,13 +12,14 @@ rows are all kept, in the order of their texts. An empty table gives no shards a
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from contextlib import contextmanager
+from itertools import chain, compress, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -48,6 +49,18 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No garbage collection: millions of small objects without cycles would be walked again and again."""
+    enabled = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if enabled:
+            gc.enable()
+
+
 class Encoder:
     """Ids of texts under a tokenizer whose words never reach across ASCII white space, that
     ignores case and white space, and that ends each word with a piece ``...</w>``. Plain letters are a-z and the small
@@ -56,7 +69,7 @@ class Encoder:
     Texts are cut at ASCII white space, where the tokenizer cuts them anyway, and each distinct
     chunk is encoded once. Letters before ASCII punctuation are a word of their own: such plain
     words go through the tokenizer together, told apart by their last piece, and all other
-    chunks one by one.
+    chunks one by one. A full encoder forgets all but the chunks that were used most often.
     """
 
     #: The plain word and the punctuation of each chunk of a joined list, nothing where a chunk isn't of this form.
@@ -68,18 +81,38 @@ class Encoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.starts = np.zeros(1, np.int64)  # of the known chunks in flat, and its end
         self.flat = np.zeros(0, np.uint32)
+        self.uses = np.zeros(0, np.int32)  # calls that met a known chunk, halved whenever some are forgotten
+
+    def _forget(self) -> None:
+        """Keep the chunks of the most calls, of two at least, at most half as many as are remembered."""
+        most = np.bincount(np.minimum(self.uses, 1 << 16), minlength=3)[::-1].cumsum()[::-1]  # chunks by least uses
+        least = 2 + int(np.count_nonzero(most[2:] > self.remember // 2))
+        kept = np.flatnonzero(self.uses >= least)
+        names = list(self.known)
+        flat, lengths = self._gather(kept)
+        self.known = dict(zip(map(names.__getitem__, kept.tolist()), range(len(kept))))
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.flat, self.uses = flat, self.uses[kept] // 2
 
     def _keep(self, names: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         first = len(self.known)
         self.known.update(zip(names, range(first, first + len(names)), strict=True))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.flat = np.concatenate([self.flat, ids])
+        self.uses = np.concatenate([self.uses, np.zeros(len(names), np.int32)])
+
+    def _used(self, place: np.ndarray) -> None:
+        met = np.zeros(len(self.uses), bool)
+        met[place] = True
+        self.uses += met
+
+    def _places(self, chunks: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each chunk, -1 if it isn't known, and these chunks."""
+        place = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        return place, list(dict.fromkeys(compress(chunks, (place < 0).tolist())))
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Chunks that aren't known yet."""
@@ -108,6 +141,7 @@ class Encoder:
             self._keep(other, np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(f) for f in found], np.int64))
         if tailed:
             place = np.array([(known[word], known[tail]) for _, word, tail in tailed]).ravel()
+            self._used(place)
             ids, lengths = self._gather(place)
             self._keep([chunk for chunk, _, _ in tailed], ids, lengths.reshape(-1, 2).sum(axis=1))
 
@@ -117,21 +151,24 @@ class Encoder:
         stops = np.cumsum(lengths)
         return self.flat[np.repeat(starts - stops + lengths, lengths) + np.arange(stops[-1] if len(stops) else 0)], lengths
 
+    @_uncollected()
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
         cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
         counts = np.array([len(c) for c in cut], np.int64)
-        flat = np.empty(counts.sum(), object)
-        flat[:] = list(chain.from_iterable(cut))
+        chunks = list(chain.from_iterable(cut))
         del cut
-        codes, distinct = pd.factorize(flat)
-        del flat
-        if len(self.known) + len(distinct) > self.remember:
+        place, new = self._places(chunks)
+        if len(self.known) + len(new) > self.remember:
             self._forget()
-        known = self.known
-        if new := [c for c in distinct if c not in known]:
+            place, new = self._places(chunks)
+        if new:
             self._learn(new)
-        place = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[codes]
+            missing = place < 0
+            found = map(self.known.__getitem__, compress(chunks, missing.tolist()))
+            place[missing] = np.fromiter(found, np.int64, np.count_nonzero(missing))
+        del chunks, new
+        self._used(place)
         ids, lengths = self._gather(place)
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
