@@ -80,3 +80,15 @@ def test_history_is_the_same_in_more_partitions(spark, tmp_path, monkeypatch, he
         if log is few:
             first = kept
     assert kept == first
+
+
+def test_partitions_count_what_adaptive_execution_leaves(spark, monkeypatch):
+    """A session may ask for many partitions: adaptive execution still draws them together to one for each core."""
+    cores, asked = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(ordering, "TASK_ROWS", 50)
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        assert ordering.task_parts(spark, 50 * cores) is None
+        assert ordering.task_parts(spark, 50 * cores + 1) == cores + 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
