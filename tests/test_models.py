@@ -132,6 +132,20 @@ def test_a_deep_path_is_attributed_without_its_2_to_the_d_patterns():
     assert got == pytest.approx([-nothing, -nothing, 2.0 - nothing], rel=1e-9)
 
 
+def test_shallow_trees_do_not_keep_the_nodes_of_rows(fitted):
+    assert fitted["forest"].stages[-1].getCacheNodeIds()
+    assert not fitted["boosted"].stages[-1].getCacheNodeIds()
+
+
+def test_a_calibration_orders_what_it_reads_only(table, fitted, monkeypatch):
+    seen, plain = [], M.half_split
+    monkeypatch.setattr(M, "half_split", lambda df, *a: seen.append(set(df.columns)) or plain(df, *a))
+    raw = M.with_raw_probability(fitted["boosted"], table)
+    best = M.fit_calibrator(raw)
+    assert seen == [{"transaction_id", "is_fraud", "raw_probability"}]
+    assert {method for method, _, _ in best.report} == {"platt", "isotonic"}
+
+
 def test_boosting_keeps_the_best_prefix(table):
     """Patience decides how many rounds are tried, and the rounds up to the lowest validation loss are kept."""
     train, val = table.filter("ts_sec < 600"), table.filter("ts_sec >= 600")

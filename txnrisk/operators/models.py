@@ -111,7 +111,8 @@ def fit_boosting(
     """Boosted trees with the square-root class weight, cut after the round with the lowest loss on ``val``.
 
     Rounds are added until ``boost_patience`` of them brought no lower loss. A round depends on those before it only, so
-    more rounds are fitted from the start, each time twice as many, and the best number of them once more.
+    more rounds are fitted from the start, each time twice as many, and the best number of them once more. Trees are shallow
+    here: walking down is cheaper than keeping the node of every row.
     """
     w = class_weights(train).first()
     rows, held = (_weighted(assembled(df, features), w.sqrt_weight, 1.0) for df in (train, val))
@@ -121,7 +122,7 @@ def fit_boosting(
         return GBTClassifier(
             featuresCol="features", labelCol=LABEL, weightCol=WEIGHT, maxIter=rounds, maxDepth=size.boost_depth,
             stepSize=size.boost_step, minInstancesPerNode=size.boost_leaf, subsamplingRate=0.9, featureSubsetStrategy="0.8",
-            maxBins=size.boost_bins, cacheNodeIds=True, seed=seed,
+            maxBins=size.boost_bins, seed=seed,
         ).fit(rows)
 
     rounds = min(size.boost_rounds, size.boost_patience + 16)
@@ -201,7 +202,7 @@ def fit_isotonic(df: DataFrame, raw: str = "raw_probability") -> Calibrator:
 
 def fit_calibrator(df: DataFrame, id_col: str = "transaction_id", raw: str = "raw_probability", seed: int = DEFAULTS.seed) -> Calibrator:
     """Fit both methods on one half and keep the one with the lower Brier score on the other."""
-    halves = half_split(df, id_col, seed)
+    halves = half_split(df.select(id_col, LABEL, raw), id_col, seed)  # the whole rows would be put in order with them
     fitting, held = halves.filter(F.col("half") == "fit"), halves.filter(F.col("half") == "eval")
     report, best, lowest = [], None, float("inf")
     for candidate in (fit_platt(fitting, raw), fit_isotonic(fitting, raw)):
