@@ -1,5 +1,6 @@
 import itertools
 import math
+import pickle
 import random
 from dataclasses import replace
 
@@ -178,6 +179,48 @@ def test_packed_leaves_add_up_whatever_the_groups():
     np.testing.assert_allclose(split, single, atol=1e-12)
 
 
+def test_many_rows_share_the_values_of_a_pattern():
+    """Rows that outnumber the patterns look their values up, few rows get their own: equal, also for values that aren't numbers."""
+    rng = np.random.default_rng(3)
+    leaves = []
+    for d in (1, 5, 9, 11):
+        names = tuple(rng.choice(12, d, replace=False).tolist())
+        low = rng.normal(-1, 1, d)
+        leaves.append(A.Leaf(names, tuple(low), tuple(np.where(rng.random(d) < 0.3, np.inf, low + 1.5)), tuple(rng.uniform(0.1, 0.9, d)), float(rng.normal())))
+    points = rng.normal(0, 1, (5000, 12))
+    points[::7, 3] = np.nan
+    paths = A.packed(leaves)
+    together = A.contributions_of(paths, points, 12)
+    alone = np.concatenate([A.contributions_of(paths, points[i : i + 20], 12) for i in range(0, 5000, 20)])
+    assert together == pytest.approx(alone, abs=1e-12)
+    margin = np.zeros(5000)
+    for leaf in leaves:
+        x = points[:, leaf.features]
+        margin += leaf.value * (((x > leaf.low) & (x <= leaf.high)).all(axis=1) - math.prod(leaf.share))
+    assert together.sum(axis=1) == pytest.approx(margin, abs=1e-12)
+
+
+def test_tasks_get_the_nodes_of_trees_not_their_paths(spark, fitted):
+    """Tables of patterns outgrow a deep tree's nodes by far."""
+    found = A.tree_attribution(spark, fitted["forest"].stages[-1], len(FEATURES))
+    nodes = sum(len(part) for _, part in found.trees)
+    assert nodes == fitted["forest"].stages[-1].totalNumNodes
+    assert len(pickle.dumps([part.to_numpy() for _, part in found.trees])) < 100 * nodes + 10_000
+
+
+def test_trees_are_dealt_over_tasks_and_rows_stay_whole(spark, table, fitted):
+    """Contributions by shares of the trees equal those of whole trees, row by row, also for equal ids."""
+    found = A.tree_attribution(spark, fitted["forest"].stages[-1], len(FEATURES))
+    rows = table.select("*", F.to_timestamp(F.timestamp_seconds("ts_sec")).alias("at"), F.lit("same").alias("id"))
+    got = found.with_contributions(rows, FEATURES)
+    assert got.columns == [*rows.columns, "contributions"]
+    key = lambda r: r.transaction_id
+    got, want = sorted(got.collect(), key=key), sorted(rows.withColumn("x", found.contributions(spark, FEATURES)).collect(), key=key)
+    assert [r[:-1] for r in got] == [r[:-1] for r in want] and len(got) == 900
+    assert all(g.contributions == pytest.approx(w.x, abs=1e-12) for g, w in zip(got, want, strict=True))
+    assert found.with_contributions(rows.limit(0), FEATURES).count() == 0
+
+
 def test_registered_queries_fit_models_of_the_default_size(spark, monkeypatch):
     from checks import inputs, queries
 
