@@ -119,3 +119,16 @@ def test_single_features_are_worded_once_they_are_chosen(spark):
     assert [r["reason"] for r in top] == ["contrib -0.500", "contrib +0.340", "contrib +0.330"]  # a missing one takes a place
     plan = rows.select("top_contributing_features")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("format_string") == 1
+
+
+def test_reasons_are_worked_out_once_for_a_row_each(spark):
+    """An inner explode repeats the whole array in a filter at the scan."""
+    rows = spark.range(3).select(
+        F.col("id").alias("transaction_id"), *[(F.col("id") * 1.0).alias(f) for f in MODEL_FEATURES],
+        F.array(*[F.col("id") * (i + 1.0) for i in range(len(MODEL_FEATURES))]).alias("contributions"),
+    )
+    flat = reasons.one_row_each(reasons.with_reasons(rows), "transaction_id")
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("array_sort") == 1
+    got = {(r.transaction_id, r.place): r.r.feature for r in flat.collect()}
+    assert sorted(got) == [(i, p) for i in (1, 2) for p in range(5)]  # nothing is shown of the row without contributions
+    assert len({got[1, p] for p in range(5)}) == 5

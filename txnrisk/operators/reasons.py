@@ -152,3 +152,9 @@ def with_reasons(
         )
         .drop(*[f"_g_{g}" for g in REASON_GROUPS])
     )
+
+
+def one_row_each(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with ``place`` and ``r``: a row for every reason shown. An inner explode has Spark filter on the length of
+    its array first, down at the scan, where all reasons would be worked out once more from expressions written out in full."""
+    return df.select(*columns, F.posexplode_outer("top_contributing_features").alias("place", "r")).filter(F.col("place").isNotNull())
