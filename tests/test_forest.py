@@ -134,5 +134,8 @@ def test_leaves_of_one_prediction_are_drawn_together(table):
 def test_one_class_or_no_rows(spark, table):
     one = M.fit_forest(table.filter("is_fraud = 0"), ["a", "b"], M.TreeParams(forest_trees=3))
     assert M.with_raw_probability(one, table).agg(F.max("raw_probability")).first()[0] == 0.0
+    for odd in (table.withColumn("is_fraud", F.when(F.col("b") < 3, F.col("is_fraud"))), table.withColumn("a", F.when(F.col("b") < 3, F.col("a")))):
+        with pytest.raises(ValueError, match="labels are missing"):
+            M.fit_forest(odd, ["a", "b"], M.TreeParams(forest_trees=3))
     with pytest.raises(ValueError):
         M.fit_forest(table.limit(0), ["a", "b"], M.TreeParams(forest_trees=3))
